@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terazi.functions.hashing import SPAN, permanent_int_sql
 from terazi.functions.turkish import spelling_key_sql
-from terazi.llm import encoding, garbled, packing, quota_sample, repeated_lines, stable_sample, token_budget
+from terazi.llm import encoding, garbled, packing, quota_sample, repeated_lines, sentences, stable_sample, token_budget
 from terazi.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,8 @@ def queries() -> dict[str, Query]:
         "p7_ids": _tables("documents")(encoding.encode_table),
         "p7_round_trip": _tables("documents")(lambda d: encoding.decode_table(encoding.encode_table(d))),
         "p8_containers": _tables("documents", "modeller")(packing.pack_documents),
+        "p9_found": _tables("documents")(sentences.split_table),
+        "p9_sentences": _tables("documents")(sentences.sentences),
         "p8_fill": _tables("documents", "modeller")(lambda d, m: packing.fill_report(packing.pack_documents(d, m), m)),
     }
 
