@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terazi.functions.hashing import SPAN, permanent_int_sql
 from terazi.functions.turkish import spelling_key_sql
-from terazi.llm import encoding, garbled, packing, quota_sample, repeated_lines, sentences, stable_sample, token_budget
+from terazi.llm import encoding, garbled, packing, pii, quota_sample, repeated_lines, sentences, stable_sample, token_budget
 from terazi.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "p2_counts": _tables("chunks", "documents", "kaynaklar")(token_budget.token_counts),
         "p3_found": _tables("kararlar")(repeated_lines.found),
         "p3_clean": _tables("kararlar")(repeated_lines.clean),
+        "p4_found": _tables("kararlar")(pii.found),
+        "p4_redacted": _tables("kararlar")(pii.redact),
         "p5_sample": _tables("kararlar", "havuz_uyelik")(stable_sample.stable_sample),
         "p6_found": _tables("experiments")(garbled.found),
         "p6_restored": _tables("experiments")(garbled.restore),
