@@ -71,10 +71,15 @@ def overlap_share(mine: Column, other: Column) -> Column:
 
 
 def shingles(text: Column, width: int = 5) -> Column:
-    """Distinct runs of `width` words; a shorter text has none."""
+    """Distinct runs of `width` words; a shorter text has none, and a null text gives null.
+
+    The words are laid beside themselves, shifted by one to width - 1 places: the text is cut a few times per row, not per word.
+    """
     t = terms(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.array_join(F.slice(t, i, width), " "))
-    return F.when(F.size(t) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(t) - (width - 1), F.lit(0))
+    names = [f"w{i}" for i in range(width)]
+    beside = F.arrays_zip(*[F.slice(t, i + 1, n).alias(c) for i, c in enumerate(names)])
+    return F.array_distinct(F.transform(beside, lambda z: F.concat_ws(" ", *[z[c] for c in names])))
 
 
 def _given(col: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,5 +64,5 @@ def encode_column(rows: DataFrame, text: str, out: str = "embedding", encoder: H
             vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, out])
 
-    schema = rows.schema.add(out, "array<float>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
     return rows.mapInArrow(run, schema)
