@@ -103,6 +103,7 @@ def judged_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     cited = citations(rows).cache()
     size = rows.select("id").filter(F.col("id").isNotNull()).distinct().count()
     law = law_overlap(pairs, cited, citation_weights(cited, size))
-    text = text_overlap(pairs, shingle_table(rows))
+    named = pairs.select(F.col("target").alias("id")).union(pairs.select("candidate")).distinct()
+    text = text_overlap(pairs, shingle_table(rows.join(named, "id", "left_semi")))
     kanun = (F.col("law_share") >= LAW) & F.col("shares_specific")
     return text.join(law, ["target", "candidate"], "left").select("target", "candidate", F.when(F.col("text_share") >= SIBLING, "kardes").when(kanun, "kanun").alias("neden"))

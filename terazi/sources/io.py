@@ -65,7 +65,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """ad, metin: the name without its ending and the stripped text of each file."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("ad"), F.trim("value").alias("metin"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("ad"), F.regexp_replace("value", "(?U)^\\s+|\\s+$", "").alias("metin"))
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
