@@ -223,11 +223,15 @@ class Encoder:
     def encode_one(self, text: str | None) -> list[int]:
         return self.encode([text])[0].tolist()
 
+    @functools.cached_property
+    def bytes_of(self) -> list[bytes]:
+        """The bytes of each id: its piece's letters, mapped back."""
+        back = {c: b for b, c in self.letters.items()}
+        return [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.ranked))]
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, by the inverse of the byte mapping."""
-        back = {c: b for b, c in self.letters.items()}
-        pieces = "".join(self.model.id_to_piece(int(i)) for i in ids)
-        return bytes(back[c] for c in pieces).decode("utf-8", "replace")
+        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
 @functools.cache

@@ -1,0 +1,125 @@
+import pytest
+
+from terazi.llm import pii
+from terazi.llm import sentences as se
+from terazi.llm.pii_labelled import labelled_table
+from terazi.session import table
+
+
+@pytest.fixture(scope="module")
+def splitter(spark):
+    return se.Splitter(se.corpus_evidence(table(spark, "/root/testdata/sf0.01", "documents")))
+
+
+def parts(splitter, text):
+    spans = splitter.split(text)
+    assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    return [text[a:b] for a, b in spans]
+
+
+CASES = [
+    ["Davacı A.Ş. vekili geldi.", "Karar verildi."],
+    ["Taşıma işini Mavişen Tekstil A.Ş.", "26. 5237 sayılı Kanun uygulanır.", "27. Bu durumda karar verilmiştir."],
+    ["Danıştay 8. Dairesinin kararı, 1.234,56 TL ve 01.02.2003 tarihli yazısı incelenmiştir.", "İlk tescil yılı 2015.", "28. Bilirkişi heyeti geldi."],
+    ['Prof. Dr. unvanlı bilirkişi "Bu kayıt isabetsiz. Başka belge yok." demiştir.', 'Tanık sormuştur: "Kim imzaladı?"', "Hesap açıktır."],
+    ["Talep reddedilmiştir (bkz. s. 76; karş. dn. 54).", "Müdahil duruşmada susmuştur...", "Bu durumda ... tarih ve ... sayılı işlem, ... İdare Mahkemesince bozulmuştur."],
+    ["Ör. tanık için saat 15.47'da Dz. Kuv. K.lığı yazısı okunmuştur.", "T.C. Mersin Valiliği geldi."],
+    ["The firm, Tressick & Co. Ltd., denied it, e.g. by letter.", "The cargo was insured by Oldcombe Inc.", "By Jan. 2003 it was signed at approx. 4.30 p.m. by the lessee."],
+    ['Mr. J. Quenby stated: "I never saw it. Nobody asked me."', '"Is that your signature?" counsel asked, and the witness said no.'],
+    ["Die Beklagte verlangt 5 EUR, vgl. Bl. 66 d. A.", "Durfte die Behörde das?", "Der 8. Senat hat am 7. März 2013 anders entschieden.", "Dr. Brinkau hat es u. a. wegen z. B. Mängeln beanstandet."],
+    ["Le bailleur réclame 3 755,22 euros, cf. pièce n° 29.", "« Qui a signé le bail ? » demanda le président.", "M. Tressange a déclaré : « Je n'ai pas signé. On m'a trompé. »", "Il a raison !"],
+    ["Согласно ст. 556 и п. 2 ч. 2 закона иск отклонён.", "«Кто подписал?» — спросил судья.", "Свидетель И. П. Дубролов пояснил: «Я не видел. Меня не спросили».", "Суд согласен."],
+    ["Μπορούσε η διοίκηση να το αγνοήσει;", "Το ποσό αμφισβητείται· ο κ. Σορβάκος, π.χ., διαφωνεί."],
+]
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_sentences(splitter, case):
+    assert parts(splitter, " ".join(case)) == case
+    assert parts(splitter, "\n\n".join(case)) == case
+
+
+def test_sentences_scripts(splitter):
+    assert parts(splitter, "原告は「見ていない。聞かれなかった。」と述べた。鑑定書（甲第27号証。以下同じ。）を争わない。誰か？") == ["原告は「見ていない。聞かれなかった。」と述べた。", "鑑定書（甲第27号証。以下同じ。）を争わない。", "誰か？"]
+    assert parts(splitter, "被告称“是伪造的！”，但未提供证据。证人陈述：“我没有看到。没有人问过我。”综上……原告") == ["被告称“是伪造的！”，但未提供证据。", "证人陈述：“我没有看到。没有人问过我。”", "综上……", "原告"]
+    assert parts(splitter, 'डॉ. सरवेकर ने कहा, "मैंने नहीं देखा। किसी ने नहीं पूछा।" वादी ने रु. 5.5 की माँग की।') == ['डॉ. सरवेकर ने कहा, "मैंने नहीं देखा। किसी ने नहीं पूछा।"', "वादी ने रु. 5.5 की माँग की।"]
+    assert parts(splitter, "مدعی نے 4.3.2000 کو اپیل پیش کیا۔ رقم 79.23 لاکھ ہے۔") == ["مدعی نے 4.3.2000 کو اپیل پیش کیا۔", "رقم 79.23 لاکھ ہے۔"]
+    assert parts(splitter, "قال د. سرحوب: «لم أر. لم يسألني أحد». هل يجوز؟ نعم؛ لذلك.") == ["قال د. سرحوب: «لم أر. لم يسألني أحد».", "هل يجوز؟", "نعم؛ لذلك."]
+    assert parts(splitter, "ตามมาตรา 72 วรรคสองไม่มีผล พยานเบิกความ 53,429.73 บาท") == ["ตามมาตรา 72 วรรคสองไม่มีผล", "พยานเบิกความ 53,429.73 บาท"]
+
+
+def test_sentences_layout(splitter):
+    wrapped = "Davacı, mahkemenin bu konudaki kararını süresi içinde\ntemyiz etmiştir. Karar onanmıştır ve dosya geri gönderilmiş\nolup kesinleşmiştir.\n\nGEREKÇE\n\n1- Davanın reddine,\n\nSon cümle burada."
+    got = parts(splitter, wrapped)
+    assert [" ".join(x.split()) for x in got] == ["Davacı, mahkemenin bu konudaki kararını süresi içinde temyiz etmiştir.", "Karar onanmıştır ve dosya geri gönderilmiş olup kesinleşmiştir.", "GEREKÇE", "1- Davanın reddine,", "Son cümle burada."]
+    assert parts(splitter, "T.C.\r\nBir cümle. \r\n\r\n A. Olaylar\r\nİkinci cümle.") == ["T.C.", "Bir cümle.", "A. Olaylar", "İkinci cümle."]
+    assert splitter.split(None) == splitter.split("") == splitter.split(" \n\t") == []
+    assert parts(splitter, "tek") == ["tek"] and len(parts(splitter, "Bu bir cümledir. " * 5000)) == 5000
+    assert parts(splitter, '"Kapanmayan tırnak. İkinci cümle. Üçüncü (açık.') == ['"Kapanmayan tırnak.', "İkinci cümle.", "Üçüncü (açık."]
+
+
+def test_sentence_table(spark, sf):
+    docs = spark.createDataFrame([(1, "Bir. İki.", "x"), (2, None, "x"), (3, " ", "x"), (4, "Bir. İki.", "x")], "doc_id long, text string, start_char string")
+    got = sorted(tuple(r) for r in se.split_table(docs, {}).collect())
+    assert [g[0] for g in got] == [1, 1, 4, 4] and got[0] == (1, 0, 4)
+    assert se.split_table(docs.limit(0)).count() == 0
+    real = table(spark, sf, "documents")
+    texts = {r.doc_id: r.text for r in real.collect()}
+    covered = {}
+    for r in se.split_table(real).collect():
+        covered.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    for i, t in texts.items():
+        joined = "".join(t[a:b] for a, b in sorted(covered.get(i, []))) if t else ""
+        assert "".join(joined.split()) == "".join((t or "").split())
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii.field()
+
+
+def test_field_on_held_out(crf):
+    table_ = labelled_table(2, seed=1234)
+    got = pii.items(crf, [t for t, _ in table_])
+    for kind, least in (("name", 0.95), ("address", 0.9), ("email", 0.9), ("phone", 0.9), ("identity", 0.95)):
+        gold = {(i, a) for i, (_, s) in enumerate(table_) for a, _, k in s if k == kind}
+        found = {(i, a) for i, s in enumerate(got) for a, _, k in s if k == kind}
+        assert len(gold & found) >= least * len(gold), kind
+        assert len(gold & found) >= least * len(found), kind
+
+
+def test_stretches_equal_whole(crf, monkeypatch):
+    """Decoding the chosen stretches gives what decoding whole lines gives."""
+    import numpy as np
+
+    texts = [t for t, _ in labelled_table(1, seed=77)][:60]
+    joined = "\n".join(texts)
+    short = crf.spans(joined)
+
+    def lines(self):
+        first = np.flatnonzero(self.w.new_line)
+        return first, np.append(first[1:], self.w.n)
+
+    monkeypatch.setattr(pii.Described, "stretches", lines)
+    whole = set(crf.spans(joined))
+    assert len(set(short) & whole) >= 0.97 * len(whole)
+
+
+def test_pii_texts(crf):
+    text = "Duruşmada dinlenen tanık Zerrin AKSU bedelin ödendiğini beyan etmiştir. Davacıya 0 572 855 4049 numaralı telefondan ulaşılmıştır.\nEvrakın barkod numarası 27323479367 olarak işlenmiştir. Davacı A.K. ile davalı ... arasında"
+    got = [(text[a:b], k) for a, b, k in pii.items(crf, [text])[0]]
+    assert got == [("Zerrin AKSU", "name"), ("0 572 855 4049", "phone")]
+    assert pii.redacted(text, pii.items(crf, [text])[0]).startswith("Duruşmada dinlenen tanık [AD] bedelin") and pii.redacted(None, []) is None
+    assert pii.items(crf, [None, "", "x", "\n\n"]) == [[], [], [], []]
+    assert pii.checked("x (0571) 467 35 66, y", 3, 18, "phone") == (2, 18) and pii.checked("Sayaç 59 402 83 65", 0, 18, "phone") is None
+
+
+def test_pii_tables(spark):
+    text = "Bildirimin ali.veli@posta.example adresine gönderildiği görülmüştür. "
+    rows = [("a", text, "n"), ("a", text, "n"), ("b", None, "n"), ("c", "", "n"), (None, text, "n"), ("d", text * 3000, "n")]
+    df = spark.createDataFrame(rows, "id string, text string, kind string")
+    got = sorted((r.id, r.kind, r.start_char) for r in pii.found(df).collect())
+    assert got[0] == ("a", "email", 11) and len(got) == 3001 and got[-1] == ("d", "email", len(text) * 2999 + 11)
+    red = {r.id: r for r in pii.redact(df).collect()}
+    assert red["a"].text == text.replace("ali.veli@posta.example", "[EPOSTA]") and red["b"].text is None and red["d"].n_items == 3000
+    assert pii.found(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0

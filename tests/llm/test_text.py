@@ -1,0 +1,164 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as hs
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from terazi.llm import encoding as en
+from terazi.llm import garbled as ga
+from terazi.llm import packing as pk
+from terazi.llm import token_budget as tb
+from terazi.session import table, tokenizer_dir
+
+
+@pytest.fixture(scope="module")
+def mine():
+    return en.Encoder(en.vocabulary_path())
+
+
+@pytest.fixture(scope="module")
+def theirs():
+    t = Tokenizer.from_file(f"{tokenizer_dir()}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+ALPHABET = "ab 'stmdrvelS\n\t 1२.,!ığ漢éกำ\x1c\x85😀<|endoftext|>"
+
+
+@settings(max_examples=400, deadline=None)
+@given(hs.lists(hs.text(alphabet=ALPHABET, max_size=40), min_size=1, max_size=4))
+def test_encoding_equals_public(mine, theirs, texts):
+    ids, sizes = mine.encode(texts)
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends):
+        assert ids[a:b].tolist() == theirs(text)
+        assert mine.decode(ids[a:b]) == text
+
+
+@settings(max_examples=150, deadline=None)
+@given(hs.text(max_size=60))
+def test_encoding_any_text(mine, theirs, text):
+    assert mine.encode_one(text) == theirs(text)
+
+
+def test_encoding_long(mine, theirs):
+    long = "çok uzun " * 20_000 + "x" * 3000 + "漢字" * 2000
+    assert mine.encode_one(long) == theirs(long)
+
+
+def test_encode_table(spark, sf, theirs):
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: r.ids for r in en.encode_table(docs).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == (theirs(r.text) if r.text else [])
+    odd = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (2, "a", "k")], "doc_id long, text string, ids string")
+    assert sorted((r.doc_id, r.ids) for r in en.encode_table(odd).collect()) == [(1, []), (2, []), (2, [64])]
+    assert en.encode_table(odd.limit(0)).count() == 0
+    back = {r.doc_id: r.text for r in en.decode_table(en.encode_table(docs)).collect()}
+    assert all(back[r.doc_id] == (r.text or "") for r in docs.collect())
+
+
+@settings(max_examples=40, deadline=None)
+@given(hs.text(alphabet="ab 'sığ1.\n", max_size=200))
+def test_independent_pieces(spark, mine, text):
+    row = spark.createDataFrame([(text,)], "t string").select(tb.independent_pieces(F.col("t"), 20).alias("p")).first()
+    assert "".join(row.p) == text
+    assert mine.encode(list(row.p), True)[1].sum() == len(mine.encode_one(text))
+
+
+def test_token_budget(spark, mine):
+    docs = spark.createDataFrame(
+        [(1, "bir iki " * 9000, "tr-TR", "kaynak", None, 5), (2, None, None, "kaynak", "d", 5), (3, "", "und", None, "d", 5), (4, "a b", "tur", "KAYNAK", "d", 5)], "doc_id long, text string, lang string, source string, domain string, tokens int"
+    )
+    chunks = spark.createDataFrame(
+        [("k", 0, "yargitay", "x" * 400, 100), ("k", 0, "yargitay", "x" * 400, 100), ("k", 1, None, "x" * 400, None), ("k", 2, "yargitay", "x" * 400, 8192), ("m", 0, "yargitay", "x" * 40, 10), ("m", 1, "emsal", None, 0), (None, 0, "emsal", "x", 1)],
+        "decision_id string, chunk_index int, source string, text string, tokens int",
+    )
+    sources = spark.createDataFrame([("yargitay", "Y", "tr", "hukuk"), ("kaynak", "K", None, "genel")], "source string, etiket string, lang string, domain string")
+    got = {(r.kind, r.id): r for r in tb.token_counts(chunks, docs, sources).collect()}
+    assert got["belge", "1"].tokens == len(mine.encode_one("bir iki " * 9000)) and got["belge", "2"].tokens == 0 and got["belge", "3"].tokens == 0
+    assert got["karar", "k"].tokens == 300 and got["karar", "m"].tokens == 10 and ("karar", None) not in got
+    assert (got["belge", "1"].lang, got["belge", "1"].domain, got["belge", "4"].source, got["belge", "4"].lang) == ("tr", "genel", "kaynak", "tr") and got["karar", "k"].domain == "hukuk"
+    total = tb.token_totals(chunks, docs, sources).filter("level = 7").first()
+    assert total.tokens == sum(r.tokens for r in got.values()) and total.items == 6
+    assert tb.token_counts(chunks.limit(0), docs.limit(0), sources).count() == 0
+    assert {r.decision_id: r.estimated for r in tb.decision_tokens(chunks).collect()} == {"k": 2, "m": 1}
+
+
+def check_packing(rows, capacities):
+    used = {}
+    for r in rows:
+        cap = capacities[r.model]
+        if r.tokens == 0:
+            assert r.konteyner is None
+        else:
+            used[r.model, r.konteyner] = used.get((r.model, r.konteyner), 0) + r.tokens
+            assert used[r.model, r.konteyner] <= cap
+    return used
+
+
+def test_packing(spark):
+    r = random.Random(5)
+    items = [(i, r.choice([r.randint(1, 400), 100, 2500])) for i in range(3000)] + [(9000, 0), (9001, None), (3, 7)]
+    caps = {"a": 1000, "b": 64, "c": 0}
+    rows = pk.pack(spark.createDataFrame(items, "doc_id long, tokens long"), caps).collect()
+    used = check_packing(rows, caps)
+    for m in ("a", "b"):
+        mine = [x for x in rows if x.model == m]
+        assert sum(x.tokens for x in mine) == sum(t or 0 for _, t in items)
+        full = sum(used[k] for k in used if k[0] == m) / (caps[m] * len([k for k in used if k[0] == m]))
+        assert full > 0.95
+        split = {x.doc_id for x in mine if x.parca_no > 0}
+        assert split == {d for d, t in items if (t or 0) > caps[m]}
+        assert {k for mm, k in used if mm == m} == set(range(len([k for k in used if k[0] == m])))
+    assert pk.pack(spark.createDataFrame([], "doc_id long, tokens long"), caps).count() == 0
+    assert pk.pack(spark.createDataFrame(items, "doc_id long, tokens long"), {}).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.dictionaries(hs.integers(1, 40), hs.integers(0, 30), max_size=12))
+def test_plan_places_all(histogram):
+    placed = {}
+    for combo, times in pk.plan(histogram, 40):
+        assert sum(k * m for k, m in combo.items()) <= 40 and times > 0
+        for k, m in combo.items():
+            placed[k] = placed.get(k, 0) + m * times
+    assert placed == {k: v for k, v in histogram.items() if v}
+
+
+def test_packing_documents(spark, sf):
+    m = table(spark, sf, "modeller")
+    rows = pk.pack_documents(table(spark, sf, "documents"), m).collect()
+    check_packing(rows, {r.model: r.max_tokens for r in m.collect()})
+    assert all(r.doluluk > 0.9 for r in pk.fill_report(pk.pack_documents(table(spark, sf, "documents"), m), m).collect())
+
+
+NOTES = "satir_no long, `not` string, garbled string, piece string"
+
+
+def test_garbled(spark):
+    clean = ["künye çıkarıldı, ölçüm – değişti", "Þingvellir, nový, SÃO, ð harfi, 5º 63 °C", "hedef bulundu mu?sonra bakılacak", "duzeltildi yazimlar", None, "", "   "]
+    clean += ["künye çıkarıldı, ölçüm – değişti (ş. 5)"] * 3
+    bad = {
+        100: clean[0].encode().decode("cp1252", "replace"), 101: clean[0].encode("cp1254").decode("latin-1"), 102: clean[0].encode("ascii", "replace").decode(),
+        103: "künye çıkarıldı, " + "ölçüm".encode().decode("mac-roman"), 104: "çıkarıld".encode("cp857").decode("cp850") + "ı",
+        105: "künye".encode().decode("latin-1").encode().decode("latin-1"), 106: "de�işti", 107: "künye (" + "ş".encode().decode("latin-1") + ". 5)",
+    }
+    rows = [(i, t, "x", "y") for i, t in enumerate(clean)] + [(k, v, None, None) for k, v in bad.items()] + [(None, "kÃ¼nye", None, None)]
+    df = spark.createDataFrame(rows, NOTES)
+    assert {r.satir_no for r in ga.found(df).collect()} == set(bad)
+    fixed = {r.satir_no: r for r in ga.restore(df).collect()}
+    assert len(fixed) == len(rows) - 1
+    assert all(fixed[i].restored == t and fixed[i].fixed == 0 for i, t in enumerate(clean))
+    assert fixed[101].restored == clean[0] and fixed[103].restored == "künye çıkarıldı, ölçüm" and fixed[104].restored == "çıkarıldı" and fixed[105].restored == "künye" and fixed[107].restored == "künye (ş. 5)"
+    assert fixed[106].restored == "değişti"
+    assert ga.found(df.limit(0)).count() == 0 and ga.restore(df.limit(0)).count() == 0
+
+
+def test_garbled_forms():
+    assert {"Ã¼n", "�n", "?n"} <= ga.garbled_forms("ün") and "ün" not in ga.garbled_forms("ün") and not ga.garbled_forms("abc")
+    assert "ağÄ±r" in ga.garbled_forms("ağır") and "aÄŸır" in ga.garbled_forms("ağır")
