@@ -505,6 +505,7 @@ _PASSPORT = re.compile(r"[A-Z] ?\d{2} ?\d{6}|[A-Z]{1,2}\d{6,8}")
 _NATIONAL = re.compile(r"\d{11}|\d{3} \d{3} \d{3} \d{2}")
 _FIRM = re.compile(r"[ .]*(?:\w+ ){0,3}?(?:San\.|Tic\.|Ltd\.|A\.Ş|Şti|Inc\b|GmbH|Kanunu|Mahkemesi|Dairesi|Valiliği|Belediyesi)")
 _WORD = re.compile(r"[^\W\d_]+")
+_DAY = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}")
 
 
 def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
@@ -521,13 +522,19 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         if part[:1] == "(" and ")" not in part:
             start, part = start + 1, part[1:]
         digits = sum(c.isdigit() for c in part)
+        if _DAY.search(part):
+            return None
         return (start, start + len(part.rstrip(" .,-)"))) if digits in (10, 11, 12, 14) else None
     if kind == "identity":
         m = _NATIONAL.search(part) or _PASSPORT.search(part)
         return (start + m.start(), start + m.end()) if m else None
     if kind == "address":
         lead = len(part) - len(part.lstrip(" -–,:;()"))
-        return (start + lead, end) if any(c.isdigit() for c in part) else None
+        last = max((i for i, c in enumerate(part) if c.isdigit()), default=-1)
+        if last < 0 or len(_WORD.findall(part[:last])) < 1 or " " not in part.strip():
+            return None
+        stop = part.find(". ", last)  # the next sentence doesn't belong to it
+        return start + lead, start + (stop if stop > 0 else len(part))
     words = _WORD.findall(part)
     if len(words) < 2 or max(map(len, words)) < 2 or any(c.isdigit() for c in part):
         return None
