@@ -84,6 +84,7 @@ def oracle_sql() -> dict[str, str]:
               FROM keyed LEFT JOIN excess ON keyed.s = excess.s AND keyed.k = excess.k GROUP BY keyed.id)
             SELECT docs.id, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(removed, 0) AS INTEGER) AS removed
             FROM docs LEFT JOIN kept USING (id)""",
+        "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p5_sample": f"""WITH pools AS (
               SELECT k.id, coalesce(min(u.havuz), 3) AS havuz FROM (SELECT DISTINCT id FROM kararlar WHERE id IS NOT NULL) k
               LEFT JOIN havuz_uyelik u ON u.id = k.id GROUP BY k.id),
