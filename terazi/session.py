@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,29 @@ def build_session(app: str = "terazi", cores: int | str = "*", shuffle_partition
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, unless they find it where the driver did.
+
+    Local workers find it by PYTHONPATH or the working directory; elsewhere it is sent as a zip by Spark's file server.
+    """
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    near = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if context.applicationId == getattr(ship, "done", None):
+        return
+    ship.done = context.applicationId
+    if context.master.startswith("local") and any(p and Path(p).resolve() == root for p in near):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="terazi-")) / "terazi.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted((root / "terazi").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    context.addPyFile(str(packed))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory (a single file or a folder of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
