@@ -59,12 +59,17 @@ def combinations(sizes: np.ndarray, window: int) -> list[dict[int, int]]:
     return out
 
 
-def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that makes |a x - b| small, for a and b without negative entries, by multiplicative updates."""
-    x = np.full(a.shape[1], max(b.sum(), 1.0) / max(a.sum(), 1.0))
-    up = a.T @ b
+def non_negative_least_squares(rows: np.ndarray, values: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """x >= 0 that makes |a x - b| small, by multiplicative updates, for a and b without negative entries.
+
+    Column c of a has values[c, k] in row rows[c, k], and nothing elsewhere.
+    """
+    at = rows.ravel()
+    x = np.full(len(rows), max(b.sum(), 1.0) / max(values.sum(), 1.0))
+    up = (values * b[rows]).sum(1)
     for _ in range(rounds):
-        x *= up / (a.T @ (a @ x) + 1e-12)
+        product = np.bincount(at, (values * x[:, None]).ravel(), len(b))
+        x *= up / ((values * product[rows]).sum(1) + 1e-12)
     return x
 
 
@@ -77,13 +82,13 @@ def plan(histogram: dict[int, int], window: int = GRID) -> list[tuple[dict[int,
     sizes = np.array(sorted(left), int)
     if columns := combinations(sizes, window) if len(sizes) else []:
         row = {s: i for i, s in enumerate(sizes.tolist())}
-        a = np.zeros((len(sizes), len(columns)))
+        rows, values = np.zeros((len(columns), 3), int), np.zeros((len(columns), 3))
         for c, combo in enumerate(columns):
-            for length, times in combo.items():
-                a[row[length], c] = times
+            for k, (length, times) in enumerate(combo.items()):
+                rows[c, k], values[c, k] = row[length], times
         b = np.array([left[s] for s in sizes.tolist()], float)
-        weight = np.sqrt(sizes / window)[:, None]  # long items are the harder to place later
-        x = np.floor(non_negative_least_squares(a * weight, b * weight[:, 0])).astype(int)
+        weight = np.sqrt(sizes / window)  # long items are the harder to place later
+        x = np.floor(non_negative_least_squares(rows, values * weight[rows], b * weight)).astype(int)
         for c in np.argsort(-x):
             combo = columns[c]
             times = min(int(x[c]), *(left[k] // m for k, m in combo.items()))
@@ -127,41 +132,43 @@ def pack(items: DataFrame, capacities: dict[str, int], grid: int = GRID) -> Data
     exceed its capacity. Repeated doc_ids are items of their own. No items give no rows, and capacities below 1 are left out.
     """
     spark = items.sparkSession
-    caps = {m: int(c) for m, c in capacities.items() if c and c > 0}
+    named = {m: int(c) for m, c in capacities.items() if c and c > 0}
     schema = "model string, doc_id long, parca_no int, baslangic long, tokens long, konteyner long"
-    if not caps:
+    if not named:
         return spark.createDataFrame([], schema)
-    cap_table = F.broadcast(spark.createDataFrame(list(caps.items()), "model string, cap long"))
-    sized = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("whole")).crossJoin(cap_table)  # a row per model
+    caps = sorted(set(named.values()))  # models of one capacity share their containers' plan
+    cap_table = F.broadcast(spark.createDataFrame([(c,) for c in caps], "cap long"))
+    sized = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("whole")).crossJoin(cap_table)  # a row per capacity
     last = F.greatest(F.ceil(F.col("whole") / F.col("cap")) - 1, F.lit(0)).cast("int")
-    parts = sized.select("model", "doc_id", "whole", "cap", F.explode(F.sequence(F.lit(0), last)).alias("parca_no"))
+    parts = sized.select("doc_id", "whole", "cap", F.explode(F.sequence(F.lit(0), last)).alias("parca_no"))
     start = F.col("parca_no") * F.col("cap")
     parts = parts.withColumns({"baslangic": start, "tokens": F.least(F.col("cap"), F.col("whole") - start)})
     # length on the grid, rounded up; capacities below the grid are their own grid
     step = F.ceil(F.col("tokens") * F.least(F.lit(grid), F.col("cap")) / F.col("cap")).cast("int")
     parts = parts.withColumns({"step": step, "salt": F.pmod(F.xxhash64("doc_id", "parca_no"), F.lit(SALTS)).cast("int")})
-    counts = parts.groupBy("model", "step", "salt").agg(F.count("*").alias("n")).collect()  # at most models x GRID x SALTS rows
-    histogram: dict[str, dict[int, int]] = {m: {} for m in caps}
+    counts = parts.groupBy("cap", "step", "salt").agg(F.count("*").alias("n")).collect()  # at most capacities x GRID x SALTS rows
+    histogram: dict[int, dict[int, int]] = {c: {} for c in caps}
     before: dict[tuple, int] = {}
-    for r in sorted(counts, key=lambda r: (r.model, r.step, r.salt)):
-        before[r.model, r.step, r.salt] = histogram[r.model].get(r.step, 0)
-        histogram[r.model][r.step] = before[r.model, r.step, r.salt] + r.n
-    slots = {m: _slots(plan({k: v for k, v in h.items() if k > 0}, min(grid, caps[m]))) for m, h in histogram.items()}
+    for r in sorted(counts, key=lambda r: (r.cap, r.step, r.salt)):
+        before[r.cap, r.step, r.salt] = histogram[r.cap].get(r.step, 0)
+        histogram[r.cap][r.step] = before[r.cap, r.step, r.salt] + r.n
+    slots = {c: _slots(plan({k: v for k, v in h.items() if k > 0}, min(grid, c))) for c, h in histogram.items()}
 
     @F.pandas_udf("long")
-    def container(model: pd.Series, step: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
-        out = pd.Series(pd.NA, index=model.index, dtype="Int64")
-        for (m, k), rows in step.groupby([model, step]).groups.items():
+    def container(cap: pd.Series, step: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
+        out = pd.Series(pd.NA, index=cap.index, dtype="Int64")
+        for (c, k), rows in step.groupby([cap, step]).groups.items():
             if k > 0:
-                at, places, first = slots[m][k]
-                ordinal = rank[rows].to_numpy() - 1 + np.array([before[m, k, s] for s in salt[rows]])
+                at, places, first = slots[c][k]
+                ordinal = rank[rows].to_numpy() - 1 + np.array([before[c, k, s] for s in salt[rows]])
                 which = np.searchsorted(at, ordinal, "right") - 1
                 out[rows] = first[which] + (ordinal - at[which]) // places[which]
         return out
 
-    rank = F.row_number().over(W.partitionBy("model", "step", "salt").orderBy("doc_id", "parca_no"))
-    placed = parts.withColumn("rank", rank).withColumn("konteyner", container("model", "step", "salt", "rank"))
-    return placed.select("model", "doc_id", "parca_no", "baslangic", "tokens", "konteyner")
+    rank = F.row_number().over(W.partitionBy("cap", "step", "salt").orderBy("doc_id", "parca_no"))
+    placed = parts.withColumn("rank", rank).withColumn("konteyner", container("cap", "step", "salt", "rank"))
+    models = F.broadcast(spark.createDataFrame(list(named.items()), "model string, cap long"))
+    return placed.join(models, "cap").select("model", "doc_id", "parca_no", "baslangic", "tokens", "konteyner")
 
 
 def pack_documents(docs: DataFrame, models: DataFrame, path: str | None = None) -> DataFrame:
