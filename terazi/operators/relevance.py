@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terazi.functions.text import shingles
 from terazi.operators import patterns as P
+from terazi.session import spread
 
 SIBLING, LAW, LEAST_DF, SPECIFIC_SHARE, SHINGLE_WORDS = 0.70, 0.60, 5, 0.01, 5
 _rx = functools.cache(re.compile)
@@ -45,7 +46,7 @@ def citations(rows: DataFrame) -> DataFrame:
             ids, laws, numbers = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(laws, pa.string()), pa.array(numbers, pa.int32())], ["id", "law", "article"])
 
-    return _texts(rows).mapInArrow(run, "id string, law string, article int").distinct()
+    return spread(_texts(rows)).mapInArrow(run, "id string, law string, article int").distinct()
 
 
 def citation_weights(cited: DataFrame, pool_size: int) -> DataFrame:

@@ -77,6 +77,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than there are, as small files do; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, used to decide whether a side may be broadcast."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
