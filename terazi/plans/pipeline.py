@@ -25,15 +25,20 @@ def candidates(chunks: DataFrame, tests: DataFrame, k: int = 100) -> DataFrame:
     return search.search(asked, vectors, k, query_key="test_id", group="decision_id", extra=("text", "tokens"))
 
 
+def _judged(ranked: DataFrame, tests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """judged_pairs() of each query's target with all its candidates."""
+    pairs = ranked.join(tests.select("test_id", F.col("karar_id").alias("target")), "test_id").select("target", F.col("decision_id").alias("candidate"))
+    return relevance.judged_pairs(pairs, decisions)
+
+
 def evaluated(chunks: DataFrame, tests: DataFrame, decisions: DataFrame, k: int = 10) -> DataFrame:
     """per_query() of the k best decisions, near copies and shared statutes counting in the wide measure."""
     ranked = materialize(candidates(chunks, tests, k), "ranked")
-    pairs = ranked.join(tests.select("test_id", F.col("karar_id").alias("target")), "test_id").select("target", F.col("decision_id").alias("candidate"))
-    judged = relevance.judged_pairs(pairs, decisions)
-    return evaluate.per_query(ranked, tests, judged)
+    return evaluate.per_query(ranked, tests, _judged(ranked, tests, decisions))
 
 
-def reranked(chunks: DataFrame, tests: DataFrame, k: int = 100) -> DataFrame:
-    """rerank_measure() of the k candidates by shared words."""
-    ranked = candidates(chunks, tests, k).withColumnRenamed("rank", "sira_once").join(tests.select("test_id", "sorgu"), "test_id")
-    return evaluate.rerank_measure(evaluate.shared_word_scores(ranked), tests)
+def reranked(chunks: DataFrame, tests: DataFrame, decisions: DataFrame, k: int = 100) -> DataFrame:
+    """rerank_measure() of the k candidates by shared words, near copies and shared statutes counting in the wide ranks."""
+    ranked = materialize(candidates(chunks, tests, k), "ranked")
+    asked = ranked.withColumnRenamed("rank", "sira_once").join(tests.select("test_id", "sorgu"), "test_id")
+    return evaluate.rerank_measure(evaluate.shared_word_scores(asked), tests, _judged(ranked, tests, decisions))

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from terazi.operators import evaluate, experiments, ranking, relevance, sampling, search, testset
+from terazi.plans import catalog
 from terazi.session import table
 from terazi.sources import io
 from terazi.streaming import incremental
@@ -120,6 +121,20 @@ def test_evaluation(spark):
     assert [(r.k, r.piece) for r in pieces] == [(1, "a b"), (1, "c d"), (1, "e"), (2, None), (3, "")]
 
 
+def test_reranking_judges_all_candidates(spark, tmp_path):
+    words = " ".join(f"k{i}" for i in range(40))
+    decisions = [("hedef", words + " TCK 141"), ("kopya", words + " TCK 142"), ("madde", "başka bir metin TCK 141"), ("uzak", "ilgisiz")] + [(f"x{i}", f"metin {i}") for i in range(200)]
+    spark.createDataFrame(decisions, "id string, text string").write.parquet(f"{tmp_path}/kararlar.parquet")
+    # the target's chunk has nothing of the queries, so that others come before it
+    chunks = [("hedef", "zzz"), ("kopya", "kira bedeli tespiti"), ("madde", "tapu iptali tescil"), ("uzak", "kira tapu")]
+    spark.createDataFrame([(d, 0, "", "", t, 3) for d, t in chunks], "decision_id string, chunk_index int, header string, bolum string, text string, tokens int").write.parquet(f"{tmp_path}/chunks.parquet")
+    tests = [("T1", "a", "s", "hedef", "", "", "kira bedeli tespiti"), ("T2", "a", "s", "hedef", "", "", "tapu iptali tescil"), ("T3", "a", "s", "x1", "", "", "kira")]
+    spark.createDataFrame(tests, TESTS + ", sorgu string").write.parquet(f"{tmp_path}/test_set.parquet")
+    got = {r.test_id: r for r in catalog.queries()["rerank_before_after"](spark, str(tmp_path)).collect()}
+    assert [(got[t].sira_genis_once, got[t].sira_genis_sonra, got[t].genis_neden_sonra) for t in ("T1", "T2", "T3")] == [(1, 1, "kardes"), (1, 1, "kanun"), (None, None, None)]
+    assert got["T1"].sira_sonra > 1 and got["T2"].sira_sonra > 1 and got["T3"].sira_sonra is None
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", None), (4, None, 1)], "id int, k string, v int")
     assert {r.k: r.id for r in ranking.keep_first(df, ["k"], [F.col("v").desc_nulls_last(), "id"]).collect()} == {"a": 2, "b": 3, None: 4}
