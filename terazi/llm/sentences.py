@@ -45,6 +45,7 @@ _NUMBERED = re.compile(f"[\\s{_IGNORED}]*[0-9]{{1,3}}\\.[\\s{_IGNORED}]+[{_OPENE
 _HYPHENED = re.compile(f"[a-zçğıöşü]{{1,2}}-[{_UPPER}]")
 _ROMAN = re.compile("[IVXLC]+$")
 _LIST_ITEM = re.compile("\\s*(?:[0-9]{1,3}[-)]|[a-zçğıöşü]\\)|[-–•*·]\\s|[IVX]+[.)]\\s)")
+_THAI = re.compile("[\u0e01-\u0e4e]")
 _THAI_GAP = re.compile("(?<=[\u0e01-\u0e4e])[ \u00a0\u2009\u202f\u3000]+(?=[\u0e01-\u0e4e])")
 _STRIP = str.maketrans("", "", _IGNORED)
 #: what follows a closing quotation when the sentence goes on in Japanese or Chinese (fixed values)
@@ -305,9 +306,9 @@ class Splitter:
             return []
         self.text, self.own, self.own_stop = text, {}, "۔" in text
         out = []
-        thai = "\u0e00" <= max(text[:200]) and _THAI_GAP.search(text) is not None
+        thai = _THAI.search(text) is not None
         for a, b in paragraphs(text):
-            cuts = [m.start() for m in _THAI_GAP.finditer(text, a, b)] if thai else []
+            cuts = self._thai_cuts(a, b) if thai else []
             cuts += self._cuts(a, b)
             start = a
             for c in [*sorted(cuts), b]:
@@ -321,6 +322,17 @@ class Splitter:
                 start = c
         return out
 
+    def _thai_cuts(self, a: int, b: int) -> list[int]:
+        """Thai's blanks, but for those inside a quotation or bracket, which may stand in a sentence of any script."""
+        gaps = [m.start() for m in _THAI_GAP.finditer(self.text, a, b)]
+        spans, k, cuts = protected(self.text, a, b) if gaps else [], 0, []
+        for g in gaps:
+            while k < len(spans) and spans[k][1] <= g:
+                k += 1
+            if k == len(spans) or spans[k][0] > g:
+                cuts.append(g)
+        return cuts
+
     def _cuts(self, a: int, b: int) -> list[int]:
         text, cuts, start, reached, k = self.text, [], a, a, 0
         spans = None

@@ -48,6 +48,16 @@ def test_sentences_scripts(splitter):
     assert parts(splitter, "ตามมาตรา 72 วรรคสองไม่มีผล พยานเบิกความ 53,429.73 บาท") == ["ตามมาตรา 72 วรรคสองไม่มีผล", "พยานเบิกความ 53,429.73 บาท"]
 
 
+def test_sentences_thai_after_a_latin_head(splitter):
+    head = ["Davacı vekili dilekçesini mahkemeye sunmuştur."] * 6
+    thai = ["ตามมาตรา 72 วรรคสองไม่มีผล", "พยานเบิกความ 53,429.73 บาท"]
+    assert len(" ".join(head)) > 200
+    for gap in (" ", "\n\n"):
+        assert parts(splitter, gap.join([*head, " ".join(thai)])) == head + thai
+    quoted = 'Tanık "พยานเบิกความ ไม่มีผล" demiştir (ตามมาตรา ไม่มีผล).'
+    assert parts(splitter, " ".join([*head, quoted])) == [*head, quoted]
+
+
 def test_sentences_layout(splitter):
     wrapped = "Davacı, mahkemenin bu konudaki kararını süresi içinde\ntemyiz etmiştir. Karar onanmıştır ve dosya geri gönderilmiş\nolup kesinleşmiştir.\n\nGEREKÇE\n\n1- Davanın reddine,\n\nSon cümle burada."
     got = parts(splitter, wrapped)
