@@ -213,6 +213,7 @@ def queries() -> dict[str, Query]:
         "section_value_counts": over("chunks")(lambda c: ranking.value_counts(c, "bolum", "bulunamadı")),
         "evaluation": over("chunks", "test_set", "kararlar")(pipeline.evaluated),
         "evaluation_summary": over("chunks", "test_set", "kararlar")(lambda c, t, k: evaluate.summary(pipeline.evaluated(c, t, k), "sorgu_tipi")),
+        "evaluation_wide_summary": over("chunks", "test_set", "kararlar")(lambda c, t, k: evaluate.wide_summary(pipeline.evaluated(c, t, k, max(evaluate.CUTS)), "sira_genis")),
         "rerank_before_after": over("chunks", "test_set", "kararlar")(pipeline.reranked),
         "experiment_sections": over("experiments")(lambda e: experiments.sectioned(e).groupBy("bolum").agg(F.count("*").alias("n"))),
         "experiment_log_once": over("experiments")(lambda e: experiments.once(e).select("satir_no")),

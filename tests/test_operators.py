@@ -135,6 +135,19 @@ def test_reranking_judges_all_candidates(spark, tmp_path):
     assert got["T1"].sira_sonra > 1 and got["T2"].sira_sonra > 1 and got["T3"].sira_sonra is None
 
 
+def test_wide_summary_reaches_a_hundred(spark, tmp_path):
+    words = " ".join(f"k{i}" for i in range(40))
+    decisions = [("hedef", "kısa metin"), ("kopya", words), ("yok", words)] + [(f"x{i}", f"metin {i}") for i in range(20)]
+    spark.createDataFrame(decisions, "id string, text string").write.parquet(f"{tmp_path}/kararlar.parquet")
+    chunks = [("hedef", "zzz"), ("kopya", "zzz")] + [(f"x{i}", "kira bedeli tespiti") for i in range(20)]
+    spark.createDataFrame([(d, 0, "", "", t, 3) for d, t in chunks], "decision_id string, chunk_index int, header string, bolum string, text string, tokens int").write.parquet(f"{tmp_path}/chunks.parquet")
+    tests = [("T1", "a", "s", "hedef", "", "", "kira bedeli tespiti"), ("T2", "a", "s", "yok", "", "", "kira bedeli tespiti")]
+    spark.createDataFrame(tests, TESTS + ", sorgu string").write.parquet(f"{tmp_path}/test_set.parquet")
+    got = catalog.queries()["evaluation_wide_summary"](spark, str(tmp_path)).first()
+    # the target comes 21st, the near copy of the other query's target 22nd
+    assert (got.sorgu, got.ilk1, got.ilk10, got.ilk20, got.ilk50, got.ilk100, got.mrr) == (2, 0, 0, 0, 100, 100, round((1 / 21 + 1 / 22) / 2, 6))
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", None), (4, None, 1)], "id int, k string, v int")
     assert {r.k: r.id for r in ranking.keep_first(df, ["k"], [F.col("v").desc_nulls_last(), "id"]).collect()} == {"a": 2, "b": 3, None: 4}
