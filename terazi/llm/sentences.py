@@ -8,21 +8,25 @@ Thai's blanks, quotations, brackets, numbered paragraphs and wrapped lines have
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terazi.session import materialize
 
-#: an entry of the corpus statistics must have at least this count, and this share of all entries counted, which bounds
-#: their number by 1 / LEAST_SHARE whatever the corpus
-LEAST_COUNT, LEAST_SHARE = 2, 2e-6
+#: a word of which at most this share of full stops ends no sentence is an ordinary one
+ORDINARY = 0.3
+#: abbreviations that are known by what never follows them, or by numbers alone, have at most so many characters
+SHORT = 6
+#: the corpus's opinions are broadcast up to this many rows; beyond it each document gets those on its own words by joins
+BROADCAST_ROWS = 500_000
 #: lines are wrapped if no longer than this and broken where the next word wouldn't fit
 WRAP_WIDTH = 120
 
@@ -42,7 +46,7 @@ _AFTER = re.compile(f"[{_IGNORED}]*(?:[ \u00a0\u202f\\t{_IGNORED}]?[{_CLOSERS}])
 _NEXT = re.compile(f"[\\s{_IGNORED}\ufe0f]*((?:[^\\w\\s{_OPENERS}—–,;:-][\ufe0f\\s{_IGNORED}]*)*)([{_OPENERS}\\s{_IGNORED}]*)([\\w'’{_IGNORED}]+|[—–,;:-]|)(\\.?)")
 _NUMBERED = re.compile(f"[\\s{_IGNORED}]*[0-9]{{1,3}}\\.[\\s{_IGNORED}]+[{_OPENERS}]*([{_UPPER}0-9]|[^\\W\\da-zà-öø-ÿα-ωа-яğışç])")
 #: a capitalised word behind a small letter and a hyphen, as in e-Devlet
-_HYPHENED = re.compile(f"[a-zçğıöşü]{{1,2}}-[{_UPPER}]")
+_HYPHENED = re.compile(f"[a-zçğıöşü]{{1,2}}-[{_UPPER}][\\w'’]*")
 _ROMAN = re.compile("[IVXLC]+$")
 _LIST_ITEM = re.compile("\\s*(?:[0-9]{1,3}[-)]|[a-zçğıöşü]\\)|[-–•*·]\\s|[IVX]+[.)]\\s)")
 _THAI = re.compile("[\u0e01-\u0e4e]")
@@ -54,12 +58,17 @@ _CJK_GOES_ON = "とはがをにでもへのやなよかっ、，,；;：:的地
 
 def _word_before(text: str, start: int, stop: int) -> str:
     """The word that ends at stop, not reaching before start, without signs around it."""
-    piece = text[max(start, stop - 28) : stop]
-    if not piece or piece[-1].isspace():
+    if stop <= start or text[stop - 1].isspace():
         return ""
-    word = piece.rsplit(None, 1)[-1]
+    reach = 32
+    while True:  # longer words are looked for further back
+        piece = text[max(start, stop - reach) : stop]
+        word = piece.rsplit(None, 1)[-1]
+        if len(word) < len(piece) or stop - reach <= start:
+            break
+        reach *= 4
     if not word.isalnum():
-        word = word.translate(_STRIP).lstrip("\"“„«‘(['”»‹<>*-—–/")
+        word = unicodedata.normalize("NFC", word.translate(_STRIP).lstrip("\"“„«‘(['”»‹<>*-—–/"))
     return word
 
 
@@ -159,43 +168,34 @@ def protected(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 # -- statistics ----------------------------------------------------------------
 
+#: a full stop with the signs behind it, the token that follows (one character where a script has no capitals), and what
+#: comes after that
+_FOLLOWED = re.compile(f"\\.([{_IGNORED}]*[\\s,;:)]+[{_IGNORED}]*)(?=([^\\s\u0e00-\uffff]++|\\S)(\\s+\\S)?)")
+_MID_CAPITAL = re.compile(f" (?<=[a-zçğıöşüâîûß-öø-ÿα-ώа-яё] )([{_UPPER}][\\w'’]+)")
+_LINE_START = re.compile(f"[!?\n](?:(?<=[!?])[\"”»]?\\s|(?<=\\n)[ \\t\\r]*\\n)[ \\t]*([{_UPPER}][\\w'’]*)")
+_FIRST_WORD = re.compile(f"[ \\t]*([{_UPPER}][\\w'’]*)")
 
-class Evidence:
-    """Counts of what follows the words before full stops, and of how capitalised words stand.
 
-    follow[word]: (n before lower case or a comma, n before a number, n before a capitalised word that opens
-    sentences, n before another capital); opens[word], ordinal[word]: how often a capitalised word opens a sentence, or follows a number's full stop.
-    """
-
-    def __init__(self, counts: dict[tuple[str, str], int] | None = None):
-        self.n: dict[tuple[str, str], int] = counts or {}
+def _followed(text: str) -> list[tuple[str, str, str, str]]:
+    """(word, signs, follower, what comes after it) of every full stop."""
+    return [(_word_before(text, 0, m.start()), *m.groups("")) for m in _FOLLOWED.finditer(text)]
 
-    def get(self, kind: str, word: str) -> int:
-        return self.n.get((kind, word), 0)
-
-    def abbreviation(self, word: str) -> float | None:
-        """How much of what follows the word's full stop shows that it ends no sentence; None without evidence."""
-        low, num, cap, name = (self.get(k, word) for k in ("low", "num", "cap", "name"))
-        total = low + num + cap + name
-        if total < LEAST_COUNT:
-            return None
-        if name > 4 * cap and name >= 3 and len(word) <= 6:
-            return 1.0
-        return (low + num) / total
 
-    def ender(self, word: str) -> bool:
-        """True if at least a quarter of the capitalised words after the word's full stop are such as open sentences."""
-        return 3 * self.get("cap", word) > self.get("name", word)
-
-
-_FOLLOWED = re.compile(f"(?<!\\S)([^\\s.]{{1,24}}+(?:\\.[^\\s.]{{1,3}}+)*+)\\.([{_IGNORED}]*[\\s,;:)]+[{_IGNORED}]*)(?=([^\\s]{{1,20}})(\\s+\\S)?)")
+def _line_starts(text: str) -> list[str]:
+    """Capitalised words at the start of the text or of a paragraph, or behind a mark of question or exclamation."""
+    m = _FIRST_WORD.match(text)
+    return [*([m.group(1)] if m else []), *_LINE_START.findall(text)]
 
 
 def _tally(pairs: Counter, counts: Counter) -> None:
-    """Sort the pairs into the kinds of evidence that Evidence describes."""
+    """Sort what follows full stops into kinds of evidence about the word before it.
+
+    low: a small letter or a comma follows, which shows that no sentence ends; num: a number; cap: an uncased letter or a
+    numbered paragraph; upper and the word: a capitalised word, judged later by how it stands elsewhere. opens, ordinal:
+    the capitalised word follows an ordinary word's, or a number's, full stop.
+    """
     for (word, between, after, beyond), n in pairs.items():
-        word = word.translate(_STRIP).lstrip("\"“„«‘(['”»‹<>*-—–/")
-        if not word:
+        if not word or not word[-1].isalnum():
             continue
         if between.strip()[:1] in (",", ";", ":") and between.strip():
             counts["low", word] += n
@@ -203,8 +203,9 @@ def _tally(pairs: Counter, counts: Counter) -> None:
         if ")" in between:
             continue
         after = after.translate(_STRIP).lstrip(_OPENERS.replace("\\", ""))
-        bare = re.match("[\\w'’]*", after).group()
-        kind = _kind(bare)
+        hyphened = _HYPHENED.match(after)
+        bare = hyphened.group() if hyphened else re.match("[\\w'’]*", after).group()
+        kind = "U" if hyphened else _kind(bare)
         if word[-1].isdigit() or _ROMAN.match(word):
             if kind == "U" and len(word) <= 3:
                 counts["ordinal", bare] += n
@@ -220,10 +221,6 @@ def _tally(pairs: Counter, counts: Counter) -> None:
                 counts["opens", bare] += n
 
 
-_MID_CAPITAL = re.compile(f"(?<=[a-zçğıöşüâîûß-öø-ÿα-ώа-яё] )[{_UPPER}][\\w'’]+")
-_LINE_START = re.compile(f"(?:^|[!?][\"”»]?\\s|\\n[ \\t\\r]*\\n)[ \\t]*([{_UPPER}][\\w'’]*)")
-
-
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """kind, word, n over all documents' whole texts: what follows full stops, and where capitalised words stand.
 
@@ -231,23 +228,25 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, openers, inner = Counter(), Counter(), Counter()
+        pairs, openers, inner, bare = Counter(), Counter(), Counter(), set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    pairs.update(_FOLLOWED.findall(text))
-                    openers.update(_LINE_START.findall(text))
+                    pairs.update(_followed(text))
+                    openers.update(_line_starts(text))
                     inner.update(_MID_CAPITAL.findall(text))
-            if len(pairs) + len(inner) > 400_000:
-                yield _as_batch(_gathered(pairs, openers, inner))
-                pairs, openers, inner = Counter(), Counter(), Counter()
-        yield _as_batch(_gathered(pairs, openers, inner))
+                    bare.update(text.split())
+            if len(pairs) + len(inner) + len(bare) > 600_000:
+                yield _as_batch(_gathered(pairs, openers, inner, bare))
+                pairs, openers, inner, bare = Counter(), Counter(), Counter(), set()
+        yield _as_batch(_gathered(pairs, openers, inner, bare))
 
     return docs.select("text").mapInArrow(run, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
-def _gathered(pairs: Counter, openers: Counter, inner: Counter) -> Counter:
-    counts: Counter = Counter()
+def _gathered(pairs: Counter, openers: Counter, inner: Counter, bare: set[str]) -> Counter:
+    """All counts; bare: short words that stand without a full stop, 1 for each part of the corpus that has them so."""
+    counts: Counter = Counter({("bare", w): 1 for w in bare if len(w) <= SHORT and w.isalpha()})
     _tally(pairs, counts)
     for kind, found in (("opens", openers), ("mid", inner)):
         for w, n in found.items():
@@ -260,54 +259,143 @@ def _as_batch(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "word", "n"])
 
 
-def corpus_evidence(docs: DataFrame) -> dict[tuple[str, str], int]:
-    """The corpus statistics that decide; pairs (word, capitalised follower) are folded by whether the follower opens
-    sentences three times as often as it stands inside them. Rare entries are left out, so that their number has a bound."""
+def corpus_evidence(docs: DataFrame) -> DataFrame:
+    """word, score, ender, opens: what the whole corpus says of each word on which it has an opinion that matters.
+
+    score: the share of the word's full stops that end no sentence; 1 for a short word that stands nowhere without one, and
+    hardly ever before a word that opens sentences. A number after a longer word speaks against an end only if small letters
+    do so too. ender: at least a quarter of the capitalised words after its full stop open sentences. opens: the capitalised
+    word opens sentences more often than it follows a number. Only shares decide, and whether something occurs at all: copies
+    of documents change nothing, and no entry is left out for being rare; words of which all three say the ordinary thing
+    have no row.
+    """
     counts = materialize(corpus_counts(docs), "sentence-counts")
-    total = counts.filter(F.col("kind") != "mid").agg(F.sum("n")).collect()[0][0] or 0
     pairs = counts.filter(F.col("kind").startswith("upper\x00")).select(F.expr("substring(kind, 7)").alias("before"), "word", "n")
     stands = lambda kind: counts.filter(F.col("kind") == kind).select("word", F.col("n").alias(kind))
     # an abbreviation that follows one speaks for a name after both
-    opener = ~F.col("word").endswith(".") & (F.coalesce("opens", F.lit(0)) > 3 * F.coalesce("mid", F.lit(0)) + 1)
+    opener = ~F.col("word").endswith(".") & (F.coalesce("opens", F.lit(0)) > 3 * F.coalesce("mid", F.lit(0)))
+    zero = F.lit(0).cast("long")
     folded = (
         pairs.join(stands("opens"), "word", "left")
         .join(stands("mid"), "word", "left")
-        .groupBy(F.when(opener, "cap").otherwise("name").alias("kind"), F.col("before").alias("word"))
-        .agg(F.sum("n").alias("n"))
+        .groupBy(F.col("before").alias("word"))
+        .agg(*[F.sum(F.when(x, F.col("n")).otherwise(0)).alias(n) for x, n in ((opener, "caps"), (~opener, "name"))])
     )
-    rest = counts.filter(~F.col("kind").startswith("upper\x00") & (F.col("kind") != "mid"))
-    # the numbered paragraphs after a word were already counted as cap
-    kept = rest.unionByName(folded).groupBy("kind", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST_COUNT, total * LEAST_SHARE))
-    return {(r.kind, r.word): r.n for r in kept.collect()}  # at most 1 / LEAST_SHARE rows
+    kinds = ("low", "num", "cap", "opens", "ordinal", "bare")
+    plain = counts.filter(F.col("kind").isin(*kinds)).groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), zero).alias(k) for k in kinds])
+    both = plain.join(folded, "word", "full_outer").na.fill(0)
+    cap = F.col("cap") + F.col("caps")
+    short = F.length("word") <= SHORT
+    before_names = short & (F.col("name") > 4 * cap) & (F.col("bare") == 0)
+    no_end = F.col("low") + F.when(short | (F.col("low") > 0), F.col("num")).otherwise(0)
+    score = F.when(before_names, 1.0).otherwise(F.try_divide(no_end, F.col("low") + F.col("num") + cap + F.col("name")))
+    judged = both.select("word", score.alias("score"), (3 * cap > F.col("name")).alias("ender"), (F.col("opens") > F.col("ordinal")).alias("opens"))
+    dotted = F.col("word").contains(".") | (F.length("word") == 1)
+    return judged.filter((F.col("score") > ORDINARY) | (dotted & F.col("score").isNotNull()) | F.col("opens"))
+
+
+Evidence = dict[str, tuple[float | None, bool, bool]]
+
+
+def as_evidence(rows) -> Evidence:
+    return {word: (score, ender, opens) for word, score, ender, opens in rows}
 
 
 # -- the decision ----------------------------------------------------------------
 
 
-class Splitter:
-    """Splits texts by the evidence of the document at hand and of the corpus.
+#: a full stop before a small letter or a comma, which ends no sentence
+_NO_END = re.compile(f"\\.(?:[\\s{_IGNORED}]+[{_OPENERS}]?[a-zçğıöşüâîûß-öø-ÿα-ώа-яё]|[,;:)])")
+
+
+class Own:
+    """What a document itself says, from occurrences that are not ambiguous; each index is made once, when first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.lines = text, []
+
+    @functools.cached_property
+    def no_end(self) -> set[str]:
+        """Words whose full stop ends no sentence somewhere."""
+        text = self.text
+        return {_word_before(text, 0, m.start()) for m in _NO_END.finditer(text) if not _HYPHENED.match(text, m.end() - 1)}
+
+    @functools.cached_property
+    def bare(self) -> set[str]:
+        """Words that stand without a full stop."""
+        return set(self.text.split())
+
+    @functools.cached_property
+    def closing(self) -> set[str]:
+        """Words whose full stop ends a paragraph."""
+        ends = ((a, _word_before(self.text, a, b - 1), b) for a, b in self.blocks if self.text[b - 1] == ".")
+        return {w for a, w, b in ends if len(w) + 1 < b - a}  # a line of nothing else is a heading
+
+    @functools.cached_property
+    def blocks(self) -> list[tuple[int, int]]:
+        out = ((a, a + len(self.text[a:b].rstrip())) for a, b in self.lines)
+        return [(a, b) for a, b in out if b > a]
+
+    @functools.cached_property
+    def inside(self) -> set[str]:
+        """Capitalised words in the middle of sentences: names and titles."""
+        return set(_MID_CAPITAL.findall(self.text))
 
-    The document is searched for its own evidence only where the corpus is of two minds about a word or has no opinion."""
+    @functools.cached_property
+    def opening(self) -> set[str]:
+        """Capitalised words at the start of a paragraph or behind an ordinary word's full stop."""
+        return {*_line_starts(self.text), *_AFTER_ORDINARY.findall(self.text)}
 
-    def __init__(self, corpus: dict[tuple[str, str], int]):
-        self.corpus = Evidence(corpus)
-        self.plain: dict[str, bool] = {}
+    @functools.cached_property
+    def ordinals(self) -> Counter:
+        """How often each capitalised word follows the full stop of a number that stands in a sentence."""
+        return Counter(_AFTER_NUMBER.findall(self.text))
+
+    def abbreviation(self, word: str) -> bool | None:
+        """Whether the word is an abbreviation; None where nothing or both is to be seen."""
+        return {(True, False): True, (False, True): False}.get((word in self.no_end, word in self.bare))
+
+    def opens(self, word: str, after_number: bool) -> bool | None:
+        """Whether the capitalised word is one that opens sentences, and no name or, behind a number, no word that numbers
+        more than once stand before; None where nothing or both is to be seen."""
+        against = self.ordinals[word] > 1 if after_number else word in self.inside
+        return {(True, False): True, (False, True): False}.get((word in self.opening, against))
+
+
+_AFTER_ORDINARY = re.compile(f"\\.(?<=[a-zçğıöşüâîûß-öø-ÿα-ώа-яё]{{5}}\\.)\\s+((?:[a-zçğıöşü]{{1,2}}-)?[{_UPPER}][\\w'’]*)")
+#: numbers behind a word, which number no paragraph
+_AFTER_NUMBER = re.compile(f"[^\\W\\d_][\\s]\\d{{1,3}}\\.\\s+((?:[a-zçğıöşü]{{1,2}}-)?[{_UPPER}][\\w'’]*)")
+
+
+class Splitter:
+    """Splits texts by the evidence of the document at hand; where it has none, or speaks both ways, by the corpus's."""
+
+    def __init__(self, corpus: Evidence):
+        self.corpus = corpus
 
     def _plain(self, word: str) -> bool:
-        """An ordinary word by the corpus, after whose full stop any capital opens a sentence."""
-        if word not in self.plain:
-            score = self.corpus.abbreviation(word)
-            self.plain[word] = word.isalpha() and len(word) > 2 and score is not None and score <= 0.1
-        return self.plain[word]
+        """An ordinary word, by the document or else by the corpus, after whose full stop any capital opens a sentence."""
+        if len(word) < 3 or not word.isalpha():
+            return False
+        if word in self.own.no_end:
+            return False
+        return self._corpus_score(word) is None or word in self.own.bare
+
+    def _corpus_score(self, word: str) -> float | None:
+        """The corpus's score where it is more than an ordinary word's."""
+        got = self.corpus.get(word)
+        return got[0] if got is not None and got[0] is not None and got[0] > ORDINARY else None
 
     def split(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of the sentences; none for null, empty and blank texts."""
         if not text or not text.strip():
             return []
-        self.text, self.own, self.own_stop = text, {}, "۔" in text
+        self.text, self.own, self.own_stop = text, Own(text), "۔" in text
         out = []
         thai = _THAI.search(text) is not None
-        for a, b in paragraphs(text):
+        blocks = paragraphs(text)
+        self.own.lines = blocks
+        for a, b in blocks:
             cuts = self._thai_cuts(a, b) if thai else []
             cuts += self._cuts(a, b)
             start = a
@@ -389,10 +477,10 @@ class Splitter:
         nxt = _NEXT.match(text, after, b)
         word = nxt.group(3)
         if word and not word.isalnum():
-            word = word.translate(_STRIP)
+            word = unicodedata.normalize("NFC", word.translate(_STRIP))
         kind = _kind(word)
-        if kind == "l" and _HYPHENED.match(text, nxt.start(3)):
-            kind = "U"
+        if kind == "l" and (joined := _HYPHENED.match(text, nxt.start(3))):
+            kind, word = "U", joined.group()
         if sign in "。！？｡":
             if after > e:
                 return text[after] not in _CJK_GOES_ON and text[after] not in "，、；"
@@ -437,14 +525,14 @@ class Splitter:
             if kind == "U":
                 if number and len(before) >= 4 or any(c in "\"“„«‘" for c in nxt.group(2)):
                     return True
-                return self._opens(word)
+                return self._opens(word, True)
             return kind == "o" or numbered or (kind == "p" and nxt.group(2) != "") or (kind == "d" and len(before) >= 4)
         if kind == "p" and nxt.group(2) == "":
             return False
         dotted = "." in before or len(before) == 1
         score = None
         if not dotted:
-            score = self._score(before)
+            score = self._score(before, kind == "d")
         if kind == "o":
             return not (dotted and len(before) == 1) and not (score is not None and score > 0.5)
         if kind == "d":
@@ -452,96 +540,125 @@ class Splitter:
                 return numbered and (self._ends_sentences(before) or not dotted and score < 0.9)
             return True
         # a capital follows
-        if not dotted and (score is None or score <= 0.3):
+        if not dotted and score is None:
             return True
         if len(word) == 1 and nxt.group(4) and not self._opens(word):
             return False
         if self._ends_sentences(before):
-            return True if self._opens(word) else not self._name(word)
+            return len(word) <= 1 or self._opens(word)
         # common words that open sentences show an end even after words that are mostly abbreviations
-        return not dotted and self._opens(word) and not self._name(word) and score is not None and score < 0.9
-
-    def _score(self, before: str) -> float | None:
-        """How likely the word is an abbreviation: by the document where that is clear, else by the corpus."""
-        wide = self.corpus.abbreviation(before)
-        if wide is not None and (wide <= 0.1 or wide >= 0.9):
-            return wide
-        low, cap = self._follow(before)
-        if low >= 2 and not cap:
-            return 1.0
-        return wide if wide is not None else low / (low + cap) if low + cap >= LEAST_COUNT else None
-
-    def _follow(self, before: str) -> tuple[int, int]:
-        """How often, in this document, the word's full stop shows no end of sentence, and how often an opening word follows."""
-        if before not in self.own:
-            low = cap = 0
-            i = self.text.find(before + ".")
-            while i >= 0:
-                if i == 0 or not self.text[i - 1].isalnum():
-                    at = i + len(before) + 1
-                    nxt = _NEXT.match(self.text, at)
-                    kind = _kind(nxt.group(3))
-                    if kind == "l" or nxt.group(3)[:1] in (",", ";", ":") or (kind == "d" and not _NUMBERED.match(self.text, at)):
-                        low += 1
-                    elif kind == "U" and self.corpus.get("opens", nxt.group(3)) > self.corpus.get("ordinal", nxt.group(3)):
-                        cap += 1
-                i = self.text.find(before + ".", i + 1)
-            self.own[before] = low, cap
-        return self.own[before]
+        return not dotted and score < 0.9 and self._opens(word)
+
+    def _score(self, before: str, number: bool) -> float | None:
+        """How likely the word is an abbreviation: by the document, else by the corpus; None for an ordinary word."""
+        wide, seen = self._corpus_score(before), before in self.own.no_end
+        if not seen and wide is None:
+            return None
+        if number:  # what stands before numbers may be a plain word elsewhere
+            return 1.0 if seen else wide
+        own = self.own.abbreviation(before)
+        return wide if own is None else 1.0 if own else None
 
     def _ends_sentences(self, before: str) -> bool:
-        if self.corpus.abbreviation(before) is not None:
-            return self.corpus.ender(before)
-        low, cap = self._follow(before)
-        return cap > low
-
-    def _opens(self, word: str) -> bool:
-        """Whether the capitalised word opens sentences rather than follows a number: in the document if that is clear."""
-        opens, ordinal = self.corpus.get("opens", word), self.corpus.get("ordinal", word)
-        if max(opens, ordinal) >= 10 * (min(opens, ordinal) + 1):
-            return opens > ordinal
-        key = "\x00" + word
-        if key not in self.own:
-            first = numbered = 0
-            i = self.text.find(" " + word, 2)
-            while i >= 0:
-                if self.text[i - 1] == ".":
-                    first += self.text[i - 2].islower()
-                    numbered += self.text[i - 2].isdigit()
-                i = self.text.find(" " + word, i + 1)
-            self.own[key] = first, numbered
-        first, numbered = self.own[key]
-        return opens + 3 * first > ordinal + 3 * max(0, numbered - 1)
-
-    def _name(self, word: str) -> bool:
-        return len(word) > 1 and not self._opens(word)
-
-
-def split_table(docs: DataFrame, evidence: dict[tuple[str, str], int] | None = None) -> DataFrame:
+        """Whether an abbreviation may end a sentence: if it ends a paragraph of the document, else by the corpus."""
+        if before in self.own.closing:
+            return True
+        got = self.corpus.get(before)
+        return got is not None and got[0] is not None and got[1]
+
+    def _opens(self, word: str, after_number: bool = False) -> bool:
+        """Whether the capitalised word opens sentences, rather than being a name or following a number."""
+        own = self.own.opens(word, after_number)
+        if own is not None:
+            return own
+        got = self.corpus.get(word)
+        return got is not None and got[2]
+
+
+def asked_words(text: str | None) -> set[str]:
+    """Every word whose evidence the splitting of the text can look up."""
+    out: set[str] = set()
+    for m in re.finditer("\\.", text or ""):
+        out.add(_word_before(text, 0, m.start()))
+        nxt = _NEXT.match(text, _AFTER.match(text, m.end()).end())
+        joined = _HYPHENED.match(text, nxt.start(3))
+        out.add(unicodedata.normalize("NFC", nxt.group(3).translate(_STRIP)) if joined is None else joined.group())
+    return out - {""}
+
+
+def _spans(batches: Iterator[pa.RecordBatch], splitter_of) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """(rows, texts, spans of each) of doc_id, text and, where it differs by document, evidence."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            texts = part.column(1).to_pylist()
+            yield part, texts, [splitter_of(part, k).split(t) for k, t in enumerate(texts)]
+
+
+def _with_evidence(docs: DataFrame, evidence: DataFrame | Evidence | None, broadcast_rows: int) -> tuple[DataFrame, object]:
+    """(doc_id, text and perhaps evidence, a maker of splitters for them).
+
+    The corpus's opinions are broadcast up to broadcast_rows; if there are more, each document is given those on its own
+    words. Both ways the same opinions reach a document.
+    """
+    rows = docs.select("doc_id", "text")
+    if isinstance(evidence, dict):
+        shared = docs.sparkSession.sparkContext.broadcast(evidence)
+        return rows, lambda: _one_for_all(shared)
+    table = materialize(corpus_evidence(docs) if evidence is None else evidence, "sentence-evidence")
+    if table.count() <= broadcast_rows:
+        shared = docs.sparkSession.sparkContext.broadcast(as_evidence(table.collect()))
+        return rows, lambda: _one_for_all(shared)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = [sorted(asked_words(t)) for t in batch.column(1).to_pylist()]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(asked)), [len(a) for a in asked])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([w for a in asked for w in a], pa.string())], ["doc_id", "word"])
+
+    known = rows.mapInArrow(words, "doc_id long, word string").join(table, "word")
+    each = known.groupBy("doc_id").agg(F.collect_set(F.struct("word", "score", "ender", "opens")).alias("evidence"))
+    joined = rows.join(each, rows["doc_id"].eqNullSafe(each["doc_id"]), "left").select(rows["doc_id"], rows["text"], "evidence")
+
+    def maker():
+        return lambda part, k: Splitter(as_evidence(tuple(x.values()) for x in part.column(2)[k].as_py() or []))
+
+    return joined, maker
+
+
+def _one_for_all(shared):
+    one = Splitter(shared.value)
+    return lambda part, k: one
+
+
+def split_table(docs: DataFrame, evidence: DataFrame | Evidence | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, start_char, end_char of every sentence of every document, whatever its lang column says.
 
-    Null, empty and blank texts give no rows. Repeated texts give the same sentences under each doc_id.
+    Null, empty and blank texts give no rows. Repeated texts give the same sentences under each doc_id. evidence: what
+    corpus_evidence() gives for these documents, if it is at hand.
     """
-    evidence = corpus_evidence(docs) if evidence is None else evidence
-    shared = docs.sparkSession.sparkContext.broadcast(evidence)
+    rows, maker = _with_evidence(docs, evidence, broadcast_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                spans = [splitter.split(t) for t in part.column(1).to_pylist()]
-                sizes = [len(s) for s in spans]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["doc_id", "start_char", "end_char"])
+        for part, _, spans in _spans(batches, maker()):
+            sizes = [len(s) for s in spans]
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["doc_id", "start_char", "end_char"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start_char int, end_char int")
+    return rows.mapInArrow(run, "doc_id long, start_char int, end_char int")
 
 
-def sentences(docs: DataFrame) -> DataFrame:
+def sentences(docs: DataFrame, evidence: DataFrame | Evidence | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, sira (from 0), sentence: the sentences' texts in order."""
-    spans = split_table(docs)
-    numbered = spans.withColumn("sira", F.row_number().over(W.partitionBy("doc_id").orderBy("start_char")) - 1)
-    text = F.expr("substring(text, start_char + 1, end_char - start_char)")
-    return numbered.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sira", text.alias("sentence"))
+    rows, maker = _with_evidence(docs, evidence, broadcast_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, spans in _spans(batches, maker()):
+            sizes = np.array([len(s) for s in spans], np.int64)
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            order = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            said = [t[a:b] for t, s in zip(texts, spans) for a, b in s]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(order.astype(np.int32)), pa.array(said, pa.string())], ["doc_id", "sira", "sentence"])
+
+    return rows.mapInArrow(run, "doc_id long, sira int, sentence string")

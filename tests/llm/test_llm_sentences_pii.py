@@ -8,7 +8,7 @@ from terazi.session import table
 
 @pytest.fixture(scope="module")
 def splitter(spark):
-    return se.Splitter(se.corpus_evidence(table(spark, "/root/testdata/sf0.01", "documents")))
+    return se.Splitter(se.as_evidence(se.corpus_evidence(table(spark, "/root/testdata/sf0.01", "documents")).collect()))
 
 
 def parts(splitter, text):
@@ -49,15 +49,49 @@ def test_sentences_scripts(splitter):
 
 
 def test_sentences_thai_after_a_latin_head(splitter):
-    head = ["Davacı vekili dilekçesini mahkemeye sunmuştur."] * 6
+    head = ["Davacı vekili dilekçesini mahkemeye sunmuştur."] * 25
     thai = ["ตามมาตรา 72 วรรคสองไม่มีผล", "พยานเบิกความ 53,429.73 บาท"]
-    assert len(" ".join(head)) > 200
+    assert len(" ".join(head)) > 1000
     for gap in (" ", "\n\n"):
         assert parts(splitter, gap.join([*head, " ".join(thai)])) == head + thai
     quoted = 'Tanık "พยานเบิกความ ไม่มีผล" demiştir (ตามมาตรา ไม่มีผล).'
     assert parts(splitter, " ".join([*head, quoted])) == [*head, quoted]
 
 
+def test_document_overrules_corpus(splitter):
+    """An abbreviation that the corpus doesn't know, and one that it does but the document uses as a word."""
+    assert splitter.corpus.get("Kzl") is None
+    assert parts(splitter, "Bu iş Kzl. Birliğine verilmiştir. Toplantı yapılmıştır.") == ["Bu iş Kzl.", "Birliğine verilmiştir.", "Toplantı yapılmıştır."]
+    known = "Daha önce Kzl. tarafından görülen iş bitmiştir."
+    assert parts(splitter, f"{known} Bu iş Kzl. Birliğine verilmiştir. Toplantı yapılmıştır.") == [known, "Bu iş Kzl. Birliğine verilmiştir.", "Toplantı yapılmıştır."]
+    assert splitter.corpus["vgl"][0] > 0.9
+    assert parts(splitter, "Adı söylenen köy vgl. Dava sürmektedir.") == ["Adı söylenen köy vgl. Dava sürmektedir."]
+    assert parts(splitter, "Burada vgl köyü anlatılmıştır. Adı söylenen köy vgl. Dava sürmektedir.") == ["Burada vgl köyü anlatılmıştır.", "Adı söylenen köy vgl.", "Dava sürmektedir."]
+
+
+def test_sentences_whole_words(splitter):
+    """Words before a full stop count in their whole length, and evidence for them, too."""
+    word = "muvaffakiyetsizleştiricileştiriveremeyebileceklerimizdenmişsinizcesine"
+    text = f"Önce {word}. yazılmıştır. Sonra {word}. Birlik denmiştir. Son cümle budur."
+    assert parts(splitter, text) == [f"Önce {word}. yazılmıştır.", f"Sonra {word}. Birlik denmiştir.", "Son cümle budur."]
+    assert se._word_before("a " + "b" * 5000, 0, 5002) == "b" * 5000
+
+
+def test_corpus_evidence_ways(spark, sf):
+    """A corpus twice as large says the same, and opinions that are joined split as those that are broadcast."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    once = se.as_evidence(se.corpus_evidence(docs).collect())
+    assert once == se.as_evidence(se.corpus_evidence(docs.unionByName(docs)).collect()) and once
+    spans = lambda df: sorted(tuple(r) for r in df.collect())
+    assert spans(se.split_table(docs, broadcast_rows=0)) == spans(se.split_table(docs, once))
+    said = se.sentences(docs, broadcast_rows=0).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ranges = {}
+    for i, a, b in spans(se.split_table(docs, once)):
+        ranges.setdefault(i, []).append(texts[i][a:b])
+    assert sorted((r.doc_id, r.sira, r.sentence) for r in said) == sorted((i, k, t) for i, ts in ranges.items() for k, t in enumerate(ts))
+
+
 def test_sentences_layout(splitter):
     wrapped = "Davacı, mahkemenin bu konudaki kararını süresi içinde\ntemyiz etmiştir. Karar onanmıştır ve dosya geri gönderilmiş\nolup kesinleşmiştir.\n\nGEREKÇE\n\n1- Davanın reddine,\n\nSon cümle burada."
     got = parts(splitter, wrapped)
