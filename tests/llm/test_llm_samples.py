@@ -76,6 +76,33 @@ def test_registry_keeps_numbers(spark, tmp_path):
     assert {r.id for r in reg.select(1.0).collect()} == {"a", "b", "c"} and reg.select(0.0).count() == 0
 
 
+def test_registry_reopened(spark, tmp_path):
+    """Two sessions in turn on one path: numbers stay, a replayed load adds nothing, a load that failed is written again."""
+    path = f"file://{tmp_path}/r"
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    st.Registry(spark, path).insert(frame(["x", "y"]), 1)
+    first = {tuple(r) for r in st.Registry(spark, path).read().collect()}
+    assert {r[0] for r in first} == {"x", "y"}
+    again = st.Registry(spark.newSession(), path)
+    assert again.loads == [1] and not again.insert(frame(["z"]), 1) and {tuple(r) for r in again.read().collect()} == first
+    assert again.insert(frame(["x", "q"]), 2)
+    third = st.Registry(spark, path)
+    assert third.loads == [1, 2] and {tuple(r) for r in third.read().collect()} > first and third.read().count() == 3
+    (tmp_path / "r" / "yuk=3" / "rows").mkdir(parents=True)  # never committed
+    assert st.Registry(spark, path).loads == [1, 2]
+    assert third.extend(frame(["q", "n"])) == 3 and {r.id for r in st.Registry(spark, path).read().filter("yuk = 3").collect()} == {"n"}
+
+
+def test_stable_sample_kept_registry(spark, tmp_path):
+    path, rates = f"file://{tmp_path}/r", ((1, 0.2), (2, 0.2), (3, 0.3))
+    ids = spark.createDataFrame([(f"k{i}",) for i in range(2000)], "id string")
+    member = spark.createDataFrame([(f"k{i}", 1 + i % 3) for i in range(1500)], "id string, havuz int")
+    before = {r.id: r.havuz for r in st.stable_sample(ids.filter("id < 'k5'"), member, rates, path=path).collect()}
+    after = {r.id: r.havuz for r in st.stable_sample(ids, member, rates, path=path).collect()}
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert after == {r.id: r.havuz for r in st.stable_sample(ids, member, rates, path=path).collect()}
+
+
 def test_repeated_lines(spark):
     legal = ("Bu  Belge e-imza ile imzalanmıştır (12).", "BU BELGE E-İMZA İLE İMZALANMIŞTIR", "bu belge e imza ile imzalanmistir 7")
     rows = [(f"a{i}", ("s1", "S1 ")[i % 2], None, f"konu {'abcdefghij'[i % 10] * (i // 10 + 1)}\n\n{legal[i % 3]}\n1 2 3", None, 0, 0) for i in range(60)]
@@ -94,6 +121,28 @@ def test_repeated_lines(spark):
     assert {r.line_no for r in rl.found(long).collect()} == {0}
 
 
+def test_the_ratio_decides(spark):
+    """Two lines of the same share and number within their source: the one that is hardly rarer outside is no excess."""
+    rows = [(f"a{i}", "s1", None, f"{'rastlanan' if i < 6 else 'başka'} satır\n{'yinelenen' if i < 6 else 'öteki'} satır", None, 0, 0) for i in range(180)]
+    rows += [(f"b{i}", "s2", None, f"{'rastlanan satır' if i < 58 else 'konu'}", None, 0, 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, ROWS)
+    tests = {r.key: r for r in rl.line_tests(df).filter("source = 's1' and df = 6").collect()}
+    by_chance, repeated = sorted(tests.values(), key=lambda r: r.llr)
+    assert (by_chance.df, by_chance.df_out, by_chance.n_out) == (6, 58, 2000.0) and (repeated.df, repeated.df_out) == (6, 0)
+    assert by_chance.llr < 1 < 20 < repeated.llr
+    assert {(r.id, r.line_no) for r in rl.found(df).filter("id < 'a9'").collect() if int(r.id[1:]) < 6} == {(f"a{i}", 1) for i in range(6)}
+
+
+def test_log_likelihood(spark):
+    import math
+
+    k1, n1, k2, n2 = 6.0, 180.0, 58.0, 2000.0
+    p = (k1 + k2) / (n1 + n2)
+    term = lambda k, n: k * math.log(k / n / p) + (n - k) * math.log((1 - k / n) / (1 - p))
+    got = spark.createDataFrame([(k1, n1, k2, n2)], "a double, b double, c double, d double").select(rl._log_likelihood(*[F.col(c) for c in "abcd"])).first()[0]
+    assert abs(got - 2 * (term(k1, n1) + term(k2, n2))) < 1e-9
+
+
 def test_against_tables(spark, sf):
     k = table(spark, sf, "kararlar")
     from collections import defaultdict
