@@ -15,10 +15,9 @@ from terazi.session import materialize
 
 #: a case stands in at least this share of a source's documents, and in at least so many
 MIN_SHARE_PERCENT, MIN_DOCS = 3, 5
-#: share of documents outside the source up to which a line counts as ordinary there
-ORDINARY = 0.003
 FALSE_DISCOVERY = 0.01
-#: flagged lines are broadcast up to this many rows (their number is bounded by lines per document / MIN_SHARE_PERCENT)
+#: flagged lines are broadcast up to this many rows (their number is bounded by lines per document / MIN_SHARE_PERCENT), and
+#: so are the sizes of the sources; beyond it both are joined by shuffle
 BROADCAST_ROWS = 200_000
 
 def _letterless() -> str:
@@ -41,10 +40,20 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.translate(line, FOLD_FROM + _DROPPED, FOLD_TO)))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("id").isNotNull()).select(
-        "id", F.coalesce(spelling_key(F.col("source")), F.lit("")).alias("source"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
+def _lines(rows: DataFrame, with_text: bool = False) -> DataFrame:
+    """id, source, line_no, key of every line of every row, and its wording, split and hashed once and written down."""
+    cut = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    lines = rows.filter(F.col("id").isNotNull()).select("id", _source(), cut).withColumn("key", line_key(F.col("line")))
+    return materialize(lines if with_text else lines.drop("line"), "lines")
+
+
+def _source() -> Column:
+    return F.coalesce(spelling_key(F.col("source")), F.lit("")).alias("source")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _log_likelihood(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
@@ -54,26 +63,31 @@ def _log_likelihood(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when(p1 > p2, 2 * both).otherwise(0.0)
 
 
-def line_tests(rows: DataFrame) -> DataFrame:
+def _excess() -> Column:
+    return (F.col("df") * 100 >= F.col("n_in") * MIN_SHARE_PERCENT) & (F.col("df") >= MIN_DOCS)
+
+
+def line_tests(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """source, key, df, n_in, df_out, n_out, llr of every wording that stands in at least MIN_DOCS documents of a source.
 
-    A document is a distinct id; repeated rows count once. Documents outside the source hold a line ordinarily up to a
-    share of ORDINARY: a wording that every source repeats is thereby still excess in each. If a source stands alone, it
-    is compared with as many documents that lack the line.
+    A document is a distinct id; repeated rows count once. Outside means the documents of the other sources, but for those
+    sources in which the wording stands in MIN_SHARE_PERCENT of the documents, too: there it is a repeated line itself and says
+    nothing about how often it stands in texts by chance. If no other source is left, the source is compared with as many
+    documents that lack the line.
     """
-    docs = rows.filter(F.col("id").isNotNull()).select("id", F.coalesce(spelling_key(F.col("source")), F.lit("")).alias("source"))
-    sizes = docs.distinct().groupBy("source").agg(F.count("*").alias("n_in"))
-    sizes = sizes.withColumn("n_all", F.sum("n_in").over(W.partitionBy(F.lit(0))))  # a row per source
-    held = _lines(rows).select("source", line_key(F.col("line")).alias("key"), F.xxhash64("id").alias("doc")).filter(F.col("key") != F.unhex(F.lit(NO_LETTERS))).distinct()
-    counts = held.groupBy("key", "source").agg(F.count("*").alias("df"))
-    counts = counts.withColumn("df_all", F.sum("df").over(W.partitionBy("key"))).filter(F.col("df") >= MIN_DOCS)
-    n_out = F.col("n_all") - F.col("n_in")
-    n_ref = F.when(n_out > 0, n_out).otherwise(F.col("n_in")).cast("double")
-    tests = counts.join(F.broadcast(sizes), "source").select(
-        "source", "key", "df", "n_in", (F.col("df_all") - F.col("df")).alias("df_out"), n_ref.alias("n_out")
-    )
-    capped = F.least(F.col("df_out").cast("double"), F.col("n_out") * ORDINARY)
-    return tests.withColumn("llr", _log_likelihood(F.col("df").cast("double"), F.col("n_in").cast("double"), capped, F.col("n_out")))
+    docs = rows.filter(F.col("id").isNotNull()).select("id", _source())
+    sizes = materialize(docs.distinct().groupBy("source").agg(F.count("*").alias("n_in")), "source-sizes")
+    n_all = sizes.agg(F.coalesce(F.sum("n_in"), F.lit(0))).first()[0]
+    held = (_lines(rows) if lines is None else lines).filter(F.col("key") != F.unhex(F.lit(NO_LETTERS))).select("source", "key", F.xxhash64("id").alias("doc")).distinct()
+    counts = held.groupBy("key", "source").agg(F.count("*").alias("df")).join(_small(sizes), "source")
+    of_key = W.partitionBy("key")  # at most a row for each source
+    both = counts.select(
+        "*", F.sum("df").over(of_key).alias("df_all"), F.sum(F.when(_excess(), F.col("df")).otherwise(0)).over(of_key).alias("df_bad"), F.sum(F.when(_excess(), F.col("n_in")).otherwise(0)).over(of_key).alias("n_bad")
+    ).filter(F.col("df") >= MIN_DOCS)
+    own = lambda c: F.when(_excess(), 0).otherwise(F.col(c))
+    n_out = F.lit(n_all) - F.col("n_bad") - own("n_in")
+    tests = both.select("source", "key", "df", "n_in", (F.col("df_all") - F.col("df_bad") - own("df")).alias("df_out"), F.when(n_out > 0, n_out).otherwise(F.col("n_in")).cast("double").alias("n_out"))
+    return tests.withColumn("llr", _log_likelihood(*[F.col(c).cast("double") for c in ("df", "n_in", "df_out", "n_out")]))
 
 
 def _log_p(llr: float) -> float:
@@ -92,16 +106,11 @@ def discovery_cut(tests: DataFrame, rate: float = FALSE_DISCOVERY) -> float:
     return cut
 
 
-def repeated_lines(rows: DataFrame) -> DataFrame:
-    """source, key of the wordings repeated excessively within a source: significant excess, and the least share and number."""
-    tests = materialize(line_tests(rows), "line-tests")
-    share = F.col("df") * 100 >= F.col("n_in") * MIN_SHARE_PERCENT
-    return tests.filter((F.col("llr") >= discovery_cut(tests)) & share & (F.col("df") >= MIN_DOCS)).select("source", "key")
-
-
-def _flagged(rows: DataFrame) -> DataFrame:
-    flagged = repeated_lines(rows)
-    return F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged
+def repeated_lines(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """source, key of the wordings repeated excessively within a source: significant excess over the outside by the likelihood
+    ratio, and, checked afterwards, the least share and number."""
+    tests = materialize(line_tests(rows, lines), "line-tests")
+    return tests.filter((F.col("llr") >= discovery_cut(tests)) & _excess()).select("source", "key")
 
 
 def found(rows: DataFrame) -> DataFrame:
@@ -109,8 +118,8 @@ def found(rows: DataFrame) -> DataFrame:
 
     Null ids, null and empty texts and blank lines give nothing; a null source is a source of its own.
     """
-    keyed = _lines(rows).select("id", "line_no", "source", line_key(F.col("line")).alias("key"))
-    return keyed.join(_flagged(rows), ["source", "key"], "left_semi").select("id", "line_no").distinct()
+    lines = _lines(rows)
+    return lines.join(_small(repeated_lines(rows, lines)), ["source", "key"], "left_semi").select("id", "line_no").distinct()
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -118,16 +127,10 @@ def clean(rows: DataFrame) -> DataFrame:
 
     A null text stays null, a text of nothing but excess lines becomes empty.
     """
-    kept = F.struct("line_no", "line")
-    flagged = _flagged(rows).withColumn("excess", F.lit(True))
-    exploded = rows.filter(F.col("id").isNotNull()).select(
-        "id", F.coalesce(spelling_key(F.col("source")), F.lit("")).alias("source"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
-    )
-    marked = exploded.withColumn("key", line_key(F.col("line"))).join(flagged, ["source", "key"], "left")
-    whole = marked.groupBy("id").agg(
-        F.collect_set(F.when(F.col("excess").isNull() & F.col("line_no").isNotNull(), kept)).alias("kept"),
-        F.count_distinct(F.when(F.col("excess"), F.col("line_no"))).alias("removed"),
-        F.max(F.col("line_no").isNotNull()).alias("has_text"),
-    )
-    text = F.array_join(F.transform(F.array_sort("kept"), lambda x: x["line"]), "\n")
-    return whole.select("id", F.when(F.col("has_text"), text).alias("text"), F.col("removed").cast("int").alias("removed"))
+    lines = _lines(rows, with_text=True)
+    rest = lines.join(_small(repeated_lines(rows, lines)), ["source", "key"], "left_anti")
+    kept = rest.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("kept"))
+    whole = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.size(F.split("text", "\n"))).alias("n"), F.max(F.col("text").isNotNull()).alias("has_text"))
+    text = F.coalesce(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"), F.lit(""))
+    left = F.coalesce(F.size("kept"), F.lit(0))
+    return whole.join(kept, "id", "left").select("id", F.when(F.col("has_text"), text).alias("text"), F.when(F.col("has_text"), F.col("n") - left).otherwise(0).cast("int").alias("removed"))
