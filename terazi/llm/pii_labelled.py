@@ -130,6 +130,139 @@ Evrak {code} koduyla doğrulanabilir.
 Üye hâkimlerden biri, {claim2} konusunda çoğunluğa katılmamış; {place} yönünden ayrı görüş yazmıştır.
 Üye hâkim çoğunluğa katılmamıştır. Davalı tanığı dinlenmemiş, tanık beyanı yetersiz bulunmuştur.
 """.strip().splitlines()
+#: everyday sentences beyond court decisions: letters, minutes, notices, forms, news; and such without any item (fixed values)
+GENERAL = """
+Toplantıda [name:{cased}] söz aldı.
+Toplantıya [name:{cased}] ile [name:{cased}] katılamadı.
+Dün akşam [name:{cased}] ile görüştüm.
+Dün [name:{cased}] aradı, yarın gelecekmiş.
+Bugün [name:{cased}] görevine başladı.
+Yarın [name:{single}] hanım gelecek.
+Geçen hafta [name:{single}] Bey bize uğradı.
+Sayın [name:{cased}], talebiniz alınmıştır.
+Sevgili [name:{single}], mektubun bugün ulaştı.
+Merhaba [name:{single}], raporu ekte gönderiyorum.
+Saygılarımla, [name:{cased}]
+Hazırlayan: [name:{cased}]
+Onaylayan: [name:{cased}], {date}
+Adı Soyadı: [name:{cased}]
+Ad Soyad : [name:{cased}] Telefon: [phone:{phone}]
+Yetkili kişi [name:{cased}] olup telefonu [phone:{phone}] numarasıdır.
+Komşumuz [name:{cased}] anahtarı bırakmış.
+Öğretmenimiz [name:{cased}] ödevleri topladı.
+Doktorum [name:{cased}] ilacı değiştirdi.
+Yazar [name:{cased}] yeni kitabını tanıttı.
+Oyuncu [name:{cased}] ödülü aldı, yönetmen [name:{cased}] teşekkür etti.
+Kazada yaralanan [name:{cased}] hastaneye kaldırıldı.
+Konuşmacılar arasında [name:{cased}], [name:{cased}] ve [name:{cased}] vardı.
+Projeyi [name:{cased}] yürütüyor.
+Ekibimize [name:{cased}] katıldı.
+Belgeyi [name:{cased}] adına düzenleyin.
+Evi [name:{cased}]'dan kiraladık.
+Arabayı [name:{cased}]'ya sattım, parasını [name:{cased}]'den aldım.
+Babam [name:{cased}], annem [name:{cased}].
+Müdürümüz [name:{cased}] izne ayrıldı.
+Başkan Yardımcısı [name:{cased}] toplantıyı açtı.
+Kardeşim [name:{single}] okula başladı.
+Ofisimiz [address:{address}] adresindedir.
+Yeni yerimiz [address:{address}] oldu.
+Mağazamız [address:{address}] adresine taşındı.
+Teslimat adresi: [address:{address}]
+Fatura adresi [address:{address}]
+Kargo şubesi [address:{address}] üzerindedir.
+Adres: [address:{address}] Tel: [phone:{phone}]
+Kargoyu [address:{address}] adresine yollayın.
+Düğünümüz [address:{address}] adresindeki salonda olacak.
+Bizi [phone:{phone}] numarasından arayın.
+Bizi [phone:{short}] numarasından arayabilirsiniz.
+Randevu için [phone:{short}] numarasını arayın.
+Telefon: [phone:{short}]
+Telefon: [phone:{phone}]
+Tel [phone:{short}], faks [phone:{short}]
+GSM: [phone:{phone}]
+Müşteri hattı [phone:{short}] her gün açıktır.
+WhatsApp hattımız [phone:{phone}] olarak değişti.
+Yurt dışından [phone:{abroad}] numarası aranmalıdır.
+Call us at [phone:{abroad}] for details.
+Phone: [phone:{abroad}], e-mail: [email:{email}]
+You can reach [name:{english}] at [phone:{abroad}].
+Sorularınızı [email:{email}] adresine yazın.
+E-posta: [email:{email}]
+Bilgi için [email:{email}] veya [phone:{phone}].
+İletişim: [name:{cased}], [email:{email}], [phone:{phone}]
+kimlik: [identity:{parted}]
+Kimlik numarası: [identity:{parted}]
+TC: [identity:{id}]
+T.C. Kimlik No : [identity:{id}] Adı Soyadı : [name:{cased}]
+Pasaport: [identity:{passport}]
+Passport no. [identity:{passport}] belongs to [name:{english}].
+[name:{english}] and [name:{english}] came.
+[name:{english}] and [name:{english}] signed the agreement yesterday.
+The report was written by [name:{english}].
+Mr. [name:{english}] met Mrs. [name:{english}] in London.
+Dear [name:{english}], thank you for your letter.
+Our manager [name:{english}] will call you.
+Witness [name:{english}] denied it.
+Herr [name:{english}] wohnt in Berlin.
+Madame [name:{english}] a signé le contrat.
+According to [name:{english}], prices rose in March.
+Toplantı saat 14.30'da başladı ve kimse söz almadı.
+Yarın hava güneşli olacak, Cuma günü yağmur bekleniyor.
+Bugün Kızılay Meydanı trafiğe kapatıldı.
+Kadıköy Belediyesi yeni parkı Pazartesi açıyor.
+Ege Üniversitesi Rektörlüğü açıklama yaptı.
+Türkiye Büyük Millet Meclisi Genel Kurulu toplandı.
+Ankara Gar binası onarılacak, Haydarpaşa Gar açık kalacak.
+Dün Fenerbahçe maçı {n}-{n} bitti.
+Kuzey Ege kıyılarında Ağustos ayı serin geçti.
+Ürün kodu {n6}, seri no {letter}{n6}, stok {n4} adet.
+Sipariş numarası {n6}-{n4} ile takip edilebilir.
+Fiş no {n11}, kasa {n}, tutar {money} TL.
+Hesap no {n4}-{n6}-{n} üzerinden ödeme yapılmıştır.
+IBAN TR{n2} {n4} {n4} {n4} {n4} {n4} {n2} hesabına yatırın.
+Uçuş TK{n4} saat 09.45'te kalkar, kapı {n}.
+Seri {n3}-{n3}-{n2} parça {n} depoda.
+{firm} genel kurulu {date} günü toplandı.
+{street} Caddesi ile {street} Sokağı arasında çalışma var.
+Siyah Kalem adlı roman ile Beyaz Gemi filmi gösterildi.
+The National Bank of Scotland opened a branch in New York City.
+On Monday the Supreme Court heard the case of the Northern Railway Company.
+United Nations Security Council met in Geneva on {date}.
+Die Stadt Frankfurt am Main plant eine Neue Brücke.
+Nüfus {n3}.{n3}, yüzölçümü {n4} km2, rakım {n3} m.
+Ölçüler {n3}x{n3}x{n2} cm, ağırlık {n2},{n} kg.
+Koordinatlar {n2}.{n6}, {n2}.{n6} noktasıdır.
+Sürüm {n}.{n}.{n} yayımlandı, derleme {n4}{n4}.
+Maddeler {n}, {n}, {n} ve {n} yürürlükten kalktı.
+{word} [name:{cased}] {word} {word}.
+{word} {word} [name:{cased}] {word}.
+{word} {word} {word} [name:{cased}] ve [name:{cased}] {word}.
+{word} [name:{cased}] tarafından {word} {word}.
+{word} {word} [name:{cased}]'a {title2} {word}.
+{title2} [name:{cased}] {word} {word} {word}.
+The {word} from [name:{english}] {word} late.
+Professor [name:{english}] {word} a {word}.
+{word} [address:{address}] adresindedir.
+{word} {word} [address:{address}] {word} {word}.
+{word} numara [identity:{parted}] olarak {word}.
+{word} numaram [identity:{id}], {word} {word}.
+{word} {word} {word} {word} {word} {word}.
+{word} {word} {word}, {word} {word} {word} {word} ve {word} {word}.
+{word} {word} ile {word} {word} arasında {word} {word} {word}.
+{inst} {word} {word} {word}.
+{word} {inst} {word} {word}, {word} {inst} {word}.
+{inst} ile {inst} {word} {word}.
+{word} {n6}{n4} {word}, {word} {n4} {word}.
+{word} {word} {day} günü {inst} binasında {word}.
+{word} {day} {word} {month} ayında {word}.
+The {inst2} {word} its {word} in {enmonth}.
+Ne var ki {exhibit} {word} ve {exhibit} {word} {word}.
+Ne var ki {word} {word} {word}.
+Kaldı ki {word} {word}, oysa {word} {word} değildir.
+{party} {masked} ile {masked} {word} {word}.
+{party} {masked} {word} {word}.
+Takip numarası {n11} olan {word} {word}.
+""".strip().splitlines()
 #: page furniture without any person, given as it is, in capitals, in small letters and without accents (fixed values)
 FURNITURE = """
 Yayına hazırlayan: İçtihat Derleme Birimi
@@ -164,6 +297,16 @@ LISTS = {
     "stem": "kaya demir yıldız çelik aydın öz arslan doğan kılıç kur ak kara bay tek gök yeşil boz güler er alp sön taş bal sel dağ tun tepe uç yur mor".split(),
     "end": "oğlu er türk can soy maz gil kan baş ten lar lı sız bek mez han su yol kaç dal".split(),
     "foreign": "Pieter van Oosten|Lars Holmqvist|Reza Karimzad|Tran Duc Minh|Maria da Costa Pinho|Jan de Vries|Karl von Stetten|Ivan Petrovski|John Whitcombe|Amira bin Saleh|Olena Kravets|Agnieszka Borowska|Ion Munteanu|Levan Beridze".split("|"),
+    "english_given": "John Jane Mary Peter Susan David Emily George Alice Robert Helen Thomas Anna Michael Laura Paul Claire Stephen Julia Martin Sophie Daniel Rachel Hans Klaus Ingrid Pierre Jean Marie Luc Carla Marco Giulia Pablo Elena".split(),
+    "english_stem": "Ash Black Brook Cliff Down East Fair Green Hart Kings Lang Mill North Oak Red Stan Thorn Under Wal Win".split(),
+    "english_end": "by croft field ford ham ley man son ton well wood worth".split(),
+    "english_lead": "O'|Mc|Mac|De|".split("|"),
+    "ending": "ı i u ü nı ni da de dan den lar ler ları leri ya ye ın in lık li sız yor dı di mış miş acak ecek ması mesi larda lerden".split(),
+    "inst_end": "Belediyesi Üniversitesi Örgütü Köprüsü Denizi Bankası Kurumu Müdürlüğü Hastanesi Lisesi Derneği Vakfı Meydanı Kampüs Stadı Kulübü Gazetesi Bakanlığı Boğazı Ovası Dağı Adası Cumhuriyeti Birliği Odası Kurulu Başkanı".split(),
+    "inst2": "Bank of|Republic of|University of|City of|Kingdom of|Isle of".split("|"),
+    "enmonth": "January February March April May June July August September October November December".split(),
+    "day": "Pazartesi Salı Çarşamba Perşembe Cuma Cumartesi Pazar".split(),
+    "title2": "Öğretmen|Müdür|Komutan|Kaptan|Yönetmen|Sanatçı|Muhtar|Belediye Başkanı|Avukatım|Komşum".split("|"),
     "party": "Davacı|Davalı|Davacı vekili|Davalı vekili|Müdahil|Borçlu|Alacaklı|İhbar olunan|Temyiz eden|Başvurucu".split("|"),
     "title": "mali müşavir|mühendis|Dr.|Prof. Dr.|Doç. Dr.|doktor|mimar|Uzm. Dr.".split("|"),
     "exhibit": "kira kontratı|fatura|tapu kaydı|ödeme emri|tanık beyanı|kamera kaydı|bilirkişi raporu|sözleşme|tebligat parçası|nüfus kaydı|keşif tutanağı|banka dekontu|uydu fotoğrafı|vekâletname|ticari defter".split("|"),
@@ -220,6 +363,32 @@ class _Filler:
         u = r.random()
         return name.translate(_UP).upper() if u < 0.09 else name.replace("I", "ı").replace("İ", "i").lower() if u < 0.15 else name
 
+    def word(self) -> str:
+        """A made-up word with a Turkish ending."""
+        r = self.r
+        parts = (r.choice(["", *"bcçdfghklmnprsştvyz"]) + r.choice("aeıioöuü") + r.choice(["", "", *"klmnrsşty"]) for _ in range(r.randint(1, 3)))
+        return "".join(parts) + r.choice(["", self.pick("ending"), self.pick("ending")])
+
+    def inst(self) -> str:
+        names = [w[0].translate(_UP).upper() + w[1:] for w in (self.word() for _ in range(self.r.choice([1, 1, 2])))]
+        return " ".join([*names, self.pick("inst_end")])
+
+    def english(self) -> str:
+        r = self.r
+        last = self.pick("english_stem") + self.pick("english_end")
+        last = (r.choice(LISTS["english_lead"]) if r.random() < 0.2 else "") + last
+        middle = r.choice(["", "", "", f"{r.choice('ABCDEFGHJKLMNPRST')}. ", self.pick("english_given") + " "])
+        return f"{self.pick('english_given')} {middle}{last.upper() if r.random() < 0.1 else last}"
+
+    def short(self) -> str:
+        """A local or service number."""
+        b, c, d, e = (self.digits(n) for n in (3, 2, 2, 4))
+        return self.r.choice([f"{b} {c} {d}", f"{b}-{c}-{d}", f"{b} {e}", f"{b}{e}", f"444 {self.r.randint(0, 9)} {b}", f"444 {c} {d}", f"444{e}", f"0850 {b} {c} {d}"])
+
+    def abroad(self) -> str:
+        b, c, d, e = (self.digits(n) for n in (3, 2, 7, 4))
+        return self.r.choice([f"+{c} {b} {d}", f"+{c} {c} {e} {e}", f"00{c} {b} {e}{c}", f"+1 {b} {b} {e}", f"+1-{b}-{b}-{e}", f"+{c}{b}{d}", f"+{c} ({c}) {e}-{e}"])
+
     def phone(self) -> str:
         a, b, c, d, e = (self.digits(n) for n in (3, 3, 2, 2, 7))
         return self.r.choice([f"0 {a} {b} {c}{d}", f"0({a}) {b} {c} {d}", f"(0{a}) {b} {c} {d}", f"+90 {a} {b} {c} {d}", f"+90({a}){e}", f"+90.{a}.{b}.{c}.{d}", f"0090 {a} {e}", f"{a}-{b}-{c}-{d}", f"0{a} {b} {c} {d}", f"0{a}{e}", f"0 ({a}) {b} {c} {d}", f"0{a}/{b} {c} {d}"])
@@ -243,12 +412,23 @@ class _Filler:
 
     def slot(self, name: str) -> str:
         r = self.r
-        if name in ("person", "phone", "email", "address"):
+        if name == "cased":
+            while (value := self.person()) == value.lower():
+                pass
+            return value
+        if name == "inst2":
+            return f"{r.choice(['', 'Royal ', 'National '])}{self.pick('inst2')} {self.word().title()}"
+        if name == "single":
+            return self.pick("given")
+        if name == "parted":
+            a, b, c, d = (self.digits(n) for n in (3, 3, 3, 2))
+            return r.choice([f"{a}-{b}-{c}-{d}", f"{a} {b} {c} {d}", f"{a}.{b}.{c}.{d}", f"{a}{b}{c}{d}"])
+        if name in ("person", "phone", "email", "address", "english", "short", "abroad", "word", "inst"):
             return getattr(self, name)()
         if name == "firm":
             return f"{self.pick('firm1')} {self.pick('firm2')} {self.pick('firm3')}"
         if name == "masked":
-            return r.choice(["A.K.", "E.S.", "M.A.", "B.C.", "G.K.", "...", "Ö.T."])
+            return r.choice(["...", "*" * r.randint(3, 5), *["".join(f"{r.choice('ABCÇDEFGHİKLMNOÖPRSŞTUÜVYZ')}." for _ in range(r.choice([2, 2, 3])))] * 6])
         if name == "date":
             d, m, y = r.randint(1, 28), r.randint(1, 12), r.randint(1995, 2024)
             return r.choice([f"{d:02}.{m:02}.{y}", f"{d}/{m}/{y}", f"{d} {self.pick('month')} {y}"])
@@ -274,7 +454,7 @@ class _Filler:
 def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]) of each pattern filled copies times."""
     fill, out = _Filler(seed), []
-    lines = [(p, copies * 2 if re.search("{(phone|address|firm)}", p) else copies) for p in PATTERNS] + [(p, 4) for p in FURNITURE]
+    lines = [(p, copies * 2 if re.search("{(phone|address|firm)}", p) else copies) for p in PATTERNS] + [(p, copies) for p in GENERAL] + [(p, 4) for p in FURNITURE]
     for pattern, times in lines:
         for k in range(times):
             text, spans = "", []
