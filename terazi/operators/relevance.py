@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,19 +19,16 @@ SIBLING, LAW, LEAST_DF, SPECIFIC_SHARE, SHINGLE_WORDS = 0.70, 0.60, 5, 0.01, 5
 _rx = functools.cache(re.compile)
 
 
+#: a statute by name with all articles listed behind it
+_NAMED_RUN = re.compile(f"{P.NAMED_STATUTE}((?:{P.FURTHER_ARTICLE.replace('(\\d', '(?:\\d')})*)")
+
+
 def statutes_cited(text: str | None) -> set[tuple[str, int]]:
     """(statute, article) of every citation: by number, by name, and further articles listed after a name."""
     flat = " ".join((text or "").split())
-    got = {(law, int(no)) for law, no in re.findall(P.NUMBERED_STATUTE, flat, re.I)}
-    more = _rx(P.FURTHER_ARTICLE)
-    for m in _rx(P.NAMED_STATUTE).finditer(flat):
-        law, article, end = P.STATUTES[m.group(1)], m.group(2), m.end()
-        while True:
-            got.add((law, int(article)))
-            if (nxt := more.match(flat, end)) is None:
-                break
-            article, end = nxt.group(1), nxt.end()
-    return got
+    by_number = ((m[1], m[2]) for m in P.NUMBERED_STATUTE.finditer(flat))
+    runs = ((P.STATUTES[m[1]], [m[2], *(f[1] for f in _rx(P.FURTHER_ARTICLE).finditer(flat, *m.span(3)))]) for m in _NAMED_RUN.finditer(flat))
+    return {(law, int(no)) for law, no in itertools.chain(by_number, ((law, no) for law, numbers in runs for no in numbers))}
 
 
 def _texts(rows: DataFrame) -> DataFrame:
