@@ -107,6 +107,21 @@ def model_input(head: Column, group: Column, text: Column, template: str = "titl
     return F.concat(F.lit(before), title if "{title}" in template else F.lit(""), F.lit(between), F.coalesce(text, F.lit("")), F.lit(after))
 
 
+#: what an encoder expects before a query (fixed value)
+QUERY_PROMPT = "task: search result | query: "
+
+
+def query_input(query: Column, prompt: str = QUERY_PROMPT) -> Column:
+    """What an encoder reads for a query: the model's prompt and the query."""
+    return F.concat(F.lit(prompt), F.coalesce(query, F.lit("")))
+
+
+def result_label(score: Column, name: Column, index: Column, count: Column, mark: Column | None = None) -> Column:
+    """A line of a result list: mark, score with three digits, name, and which part of how many was found."""
+    part = F.concat(F.lit(" (parça "), (index + 1).cast("string"), F.lit("/"), count.cast("string"), F.lit(")"))
+    return F.concat(mark if mark is not None else F.lit(""), F.lit("["), F.format_string("%.3f", score), F.lit("] "), F.coalesce(name, F.lit("")), F.coalesce(part, F.lit("")))
+
+
 def preview(text: Column, head: int = 200, tail: int = 120) -> tuple[Column, Column]:
     """First and last characters of a text."""
     return F.left(text, F.lit(head)), F.right(text, F.lit(tail))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terazi.functions.text import collapse_whitespace
+from terazi.functions.text import collapse_whitespace, overlap_share, result_label, stems, word_count
 from terazi.operators.ranking import widened
 
 CUTS = (1, 5, 10, 20, 50, 100)
 EVIDENCE_DEPTH = 5
+#: words kept free beside the query when a long text is cut for a model that reads pairs (fixed value)
+MARGIN = 128
 #: marks before a result by the reason for which it is right (fixed values)
 MARKS = {"hedef": "[DOĞRU] ", "kardes": "[KARDEŞ] ", "kanun": "[KANUN] "}
 
@@ -43,20 +45,38 @@ def evidence_found(ranked: DataFrame, tests: DataFrame, depth: int = EVIDENCE_DE
     return top.groupBy("test_id").agg(F.coalesce(F.max(F.contains(collapse_whitespace(F.col("text")), F.col("_need"))), F.lit(False)).alias("kanit_ilk5"))
 
 
-def per_query(ranked: DataFrame, tests: DataFrame, judged: DataFrame | None = None) -> DataFrame:
-    """One row per query: strict and wide rank, reason of the wide one, right results among five, evidence, tokens read, and the
-    first five results. ranked: test_id, rank, decision_id, score, text, tokens. Queries without results stay, with null ranks."""
+def _mark() -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in MARKS.items() for x in p]), F.col("neden")), F.lit(""))
+
+
+def _labels(r: DataFrame, score: str, rank: str) -> DataFrame:
+    """sonuc_1..5: the first five results with mark, score, header (else id) and part, where these columns are there."""
+    has = lambda c: F.col(c) if c in r.columns else F.lit(None)
+    line = result_label(F.col(score), F.coalesce(F.nullif(has("header").cast("string"), F.lit("")), F.col("decision_id")), has("chunk_index").cast("int"), has("n_chunks").cast("int"), _mark())
+    return widened(r.withColumn("_shown", line), ["test_id"], "_shown", rank=rank)
+
+
+def per_query(ranked: DataFrame, tests: DataFrame, judged: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """One row per query: strict and wide rank, reason of the wide one, right results among five, evidence, tokens read, the group
+    and text of the part in which the target was found, and the first five results.
+
+    ranked: test_id, rank, decision_id, score, text, tokens, and, for the labels, header, chunk_index, n_chunks, bolum where
+    there are any. evidence: test_id, kanit, if other than the tests' own, as for cleaned texts. Queries without results
+    stay, with null ranks.
+    """
     r = reasons(ranked, tests, judged)
-    seen = F.col("rank") <= EVIDENCE_DEPTH
+    seen, hit = F.col("rank") <= EVIDENCE_DEPTH, F.col("neden") == "hedef"
+    group = F.col("bolum") if "bolum" in r.columns else F.lit(None).cast("string")
     ranks = r.groupBy("test_id").agg(
-        F.min(F.when(F.col("neden") == "hedef", F.col("rank"))).alias("sira"), F.min(F.when(F.col("neden").isNotNull(), F.col("rank"))).alias("sira_genis"),
+        F.min(F.when(hit, F.col("rank"))).alias("sira"), F.min(F.when(F.col("neden").isNotNull(), F.col("rank"))).alias("sira_genis"),
         F.min_by("neden", F.when(F.col("neden").isNotNull(), F.col("rank"))).alias("genis_neden"),
         F.sum((seen & F.col("neden").isNotNull()).cast("int")).alias("ilgili_ilk5"), F.sum(F.when(seen, F.col("tokens")).otherwise(0)).alias("okunan_token_ilk5"),
+        F.coalesce(F.min_by(group, F.when(hit, F.col("rank"))), F.lit("")).alias("bulunan_bolum"), F.coalesce(F.min_by("text", F.when(hit, F.col("rank"))), F.lit("")).alias("bulunan_parca_metni"),
     )
-    mark = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in MARKS.items() for x in p]), F.col("neden")), F.lit(""))
-    shown = widened(r.withColumn("_shown", F.format_string("%s[%.3f] %s", mark, F.col("score"), F.col("decision_id"))), ["test_id"], "_shown")
-    base = tests.select("test_id", "sorgu_tipi", "kaynak")
-    return base.join(ranks, "test_id", "left").join(evidence_found(ranked, tests), "test_id", "left").join(shown, "test_id", "left").na.fill({"ilgili_ilk5": 0, "okunan_token_ilk5": 0, "kanit_ilk5": False})
+    base = tests.select("test_id", "sorgu_tipi", "kaynak", *[c for c in ("sorgu", "kunye", "kanit") if c in tests.columns]).withColumnsRenamed({"kunye": "hedef_kunye"})
+    held = evidence_found(ranked, tests if evidence is None else evidence)
+    out = base.join(ranks, "test_id", "left").join(held, "test_id", "left").join(_labels(r, "score", "rank"), "test_id", "left")
+    return out.na.fill({"ilgili_ilk5": 0, "okunan_token_ilk5": 0, "kanit_ilk5": False, "bulunan_bolum": "", "bulunan_parca_metni": "", **{f"sonuc_{i}": "" for i in range(1, 6)}})
 
 
 def hit_share(rank: Column, k: int) -> Column:
@@ -96,8 +116,6 @@ def identity_scores(candidates: DataFrame) -> DataFrame:
 
 def shared_word_scores(candidates: DataFrame, query: str = "sorgu", text: str = "text") -> DataFrame:
     """Scores by the share of a query's stems that the text has; stands in for a model that scores pairs."""
-    from terazi.functions.text import overlap_share, stems
-
     return candidates.withColumn("puan", F.coalesce(overlap_share(stems(F.col(query)), stems(F.col(text))), F.lit(0.0)))
 
 
@@ -106,6 +124,18 @@ def best_of_pieces(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(F.max("puan").alias("puan"))
 
 
+def whole_text_scores(candidates: DataFrame, room: int) -> DataFrame:
+    """Scores over whole texts: each is cut into pieces that fit room words beside its query, and the best piece counts.
+
+    candidates: test_id, sira_once, decision_id, sorgu, text and more, which stay.
+    """
+    beside = F.coalesce(word_count(F.col("sorgu")), F.lit(0)) + MARGIN
+    keys = ["test_id", "decision_id"]
+    pieces = text_pieces(candidates.select(*keys, "sorgu", "text"), "text", F.lit(room), beside)
+    best = best_of_pieces(shared_word_scores(pieces, text="piece"), keys)
+    return candidates.join(best, keys)
+
+
 def reranked(candidates: DataFrame) -> DataFrame:
     """candidates (test_id, sira_once, puan, ...) with sira_sonra: by score, the former order among equals."""
     return candidates.withColumn("sira_sonra", F.row_number().over(W.partitionBy("test_id").orderBy(F.col("puan").desc_nulls_last(), "sira_once")))
@@ -120,17 +150,18 @@ def rerank_measure(candidates: DataFrame, tests: DataFrame, judged: DataFrame |
         F.min(F.when(right, F.col("sira_once"))).alias("sira_genis_once"), F.min(F.when(right, F.col("sira_sonra"))).alias("sira_genis_sonra"),
         F.min_by("neden", F.when(right, F.col("sira_sonra"))).alias("genis_neden_sonra"), F.min_by("puan", F.when(hit, F.col("sira_sonra"))).alias("hedef_puan"),
     )
-    return tests.select("test_id", "sorgu_tipi", "kaynak").join(per, "test_id", "left")
+    shown = _labels(r, "puan", "sira_sonra")
+    return tests.select("test_id", "sorgu_tipi", "kaynak").join(per, "test_id", "left").join(shown, "test_id", "left").na.fill("", [f"sonuc_{i}" for i in range(1, 6)])
 
 
-def text_pieces(rows: DataFrame, text: str, room: Column, tokens_before: int = 128) -> DataFrame:
-    """rows exploded into pieces of a long text that fit room less tokens_before words; piece holds the words, parca their number.
+def text_pieces(rows: DataFrame, text: str, room: Column, tokens_before: int | Column = MARGIN) -> DataFrame:
+    """rows exploded into pieces of a long text that fit room less tokens_before words; parca is their number.
 
-    Texts that fit come whole; null texts come as one null piece.
+    A piece is a slice of the text as it is, from a word's beginning to a word's end. Texts that fit come whole; null
+    texts come as one null piece.
     """
-    from terazi.functions.text import words
-
-    w, size = words(F.col(text)), F.greatest(F.lit(1), room - tokens_before).cast("int")
+    w = F.regexp_extract_all(F.col(text), F.lit("(?U)\\S+\\s*"), F.lit(0))
+    size = F.greatest(F.lit(1), room - tokens_before).cast("int")
     n = F.greatest(F.lit(1), F.ceil(F.size(w) / size)).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+    piece = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.regexp_replace(F.array_join(F.slice(w, i * size + 1, size), ""), "(?U)\\s+$", ""))
     return rows.select("*", F.posexplode_outer(F.when(F.col(text).isNotNull(), piece)).alias("parca", "piece"))

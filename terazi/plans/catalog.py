@@ -35,14 +35,14 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round("score", 6))
 
 
-def _best_labels(e: DataFrame, k: int = 10) -> DataFrame:
+def _best_labels(e: DataFrame, k: int = max(evaluate.CUTS)) -> DataFrame:
     return search.search(_asked(e), e, k, row_key="vec_id", group="label")
 
 
 def _own_label(e: DataFrame) -> DataFrame:
-    """Rank of each query's own label among labels by their best other... row: the query's own row counts as any other."""
+    """Rank of each query's own label among labels by their best row; the query's own row counts as any other."""
     own = e.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
-    return ranking.first_match(_best_labels(e).join(F.broadcast(own.join(_asked(e).select("query"), "query")), "query"), ["query", "own"], F.col("label") == F.col("own"))
+    return ranking.first_match(_best_labels(e).join(own.join(_asked(e).select("query"), "query"), "query"), ["query", "own"], F.col("label") == F.col("own"))
 
 
 def _fused(e: DataFrame) -> DataFrame:
@@ -52,12 +52,12 @@ def _fused(e: DataFrame) -> DataFrame:
 
 
 def _identity(e: DataFrame) -> DataFrame:
-    near = _best_labels(e).select(F.col("query").alias("test_id"), F.col("rank").alias("sira_once"), "label", "score")
+    near = _best_labels(e, 10).select(F.col("query").alias("test_id"), F.col("rank").alias("sira_once"), "label", "score")
     return evaluate.reranked(evaluate.identity_scores(near)).select("test_id", "label", "sira_once", "sira_sonra")
 
 
 def _repeated(e: DataFrame) -> DataFrame:
-    runs = [_best_labels(e).select(F.col("query").alias("test_id"), F.lit(i).alias("tekrar"), "rank", F.col("label").alias("decision_id"), "score", (F.col("label") == 0).alias("hedef")) for i in range(3)]
+    runs = [_best_labels(e, 10).select(F.col("query").alias("test_id"), F.lit(i).alias("tekrar"), "rank", F.col("label").alias("decision_id"), "score", (F.col("label") == 0).alias("hedef")) for i in range(3)]
     return experiments.repeatability(ranking.unite(*runs))
 
 
@@ -214,7 +214,11 @@ def queries() -> dict[str, Query]:
         "evaluation": over("chunks", "test_set", "kararlar")(pipeline.evaluated),
         "evaluation_summary": over("chunks", "test_set", "kararlar")(lambda c, t, k: evaluate.summary(pipeline.evaluated(c, t, k), "sorgu_tipi")),
         "evaluation_wide_summary": over("chunks", "test_set", "kararlar")(lambda c, t, k: evaluate.wide_summary(pipeline.evaluated(c, t, k, max(evaluate.CUTS)), "sira_genis")),
+        "evaluation_clean_summary": over("kararlar", "test_set")(lambda k, t: evaluate.wide_summary(pipeline.evaluated_clean(k, t), "sira_genis")),
+        "search_results": over("chunks", "test_set")(pipeline.searched),
         "rerank_before_after": over("chunks", "test_set", "kararlar")(pipeline.reranked),
+        "rerank_whole_texts": over("chunks", "test_set", "kararlar")(lambda c, t, k: pipeline.reranked(c, t, k, text="orijinal")),
+        "rerank_clean_texts": over("chunks", "test_set", "kararlar")(lambda c, t, k: pipeline.reranked(c, t, k, text="temiz")),
         "experiment_sections": over("experiments")(lambda e: experiments.sectioned(e).groupBy("bolum").agg(F.count("*").alias("n"))),
         "experiment_log_once": over("experiments")(lambda e: experiments.once(e).select("satir_no")),
         "experiment_report": over("experiments")(_report),
@@ -236,7 +240,7 @@ _SCORES = "SELECT q.vec_id AS query, e.vec_id, e.label, round(list_dot_product(e
 _LABELS = f"""WITH s AS ({_SCORES}),
     b AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY s DESC, vec_id) AS rn FROM s),
     r AS (SELECT query, vec_id, label, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, label, vec_id) AS rank FROM b WHERE rn = 1)"""
-_OWN = f"""{_LABELS}, o AS (SELECT r.query, e.label AS own, min(CASE WHEN r.label = e.label AND rank <= 10 THEN rank END) AS sira FROM r JOIN embeddings e ON e.vec_id = r.query GROUP BY ALL)"""
+_OWN = f"""{_LABELS}, o AS (SELECT r.query, e.label AS own, min(CASE WHEN r.label = e.label AND rank <= 100 THEN rank END) AS sira FROM r JOIN embeddings e ON e.vec_id = r.query GROUP BY ALL)"""
 _METRICS = "count(*) AS sorgu, " + ", ".join(f"round(100.0 * avg(CASE WHEN sira <= {k} THEN 1.0 ELSE 0.0 END), 6) AS ilk{k}" for k in evaluate.CUTS) + ", round(avg(coalesce(1.0 / sira, 0)), 6) AS mrr"
 _USABLE = f"""usable AS (
     SELECT * FROM (

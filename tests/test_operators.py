@@ -85,6 +85,11 @@ def test_search(spark, sf):
         for i in sorted(range(len(ids)), key=lambda i: (-s[i], ids[i])):
             top.setdefault(label[ids[i]], ids[i])
         assert [r.vec_id for r in best if r.query == q] == list(top.values())[:4]
+    # many queries meet the rows in blocks, with the same results
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(search.search(asked, e, 7, row_key="vec_id", broadcast_bytes=900)) == key(got)
+    assert key(search.search(asked, e, 4, row_key="vec_id", group="label", broadcast_bytes=900)) == sorted(tuple(r) for r in best)
+    assert search.search(asked, e.limit(0), 3, row_key="vec_id", broadcast_bytes=1).count() == 0
     assert search.index_recall(got.withColumnRenamed("vec_id", "id"), got.withColumnRenamed("vec_id", "id")).first().recall == 1
     assert search.overfetched(asked, e, 3, "label", row_key="vec_id").groupBy("query").count().filter("count > 3").count() == 0
     assert search.search(asked.limit(0), e, 3, row_key="vec_id").count() == 0
@@ -121,6 +126,40 @@ def test_evaluation(spark):
     assert [(r.k, r.piece) for r in pieces] == [(1, "a b"), (1, "c d"), (1, "e"), (2, None), (3, "")]
 
 
+def test_best_keeps_equals_and_prunes():
+    """Rows come in any order, with equals of the k-th best; what is left after pruning holds the best."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    rows = np.round(r.normal(size=(400, 3)), 1)
+    asked = np.round(r.normal(size=(5, 3)), 1)
+    for grouped in (False, True):
+        best = search.Best(pa.array(range(5)), asked, 6, grouped)
+        for at in range(0, 400, 30):
+            part = rows[at : at + 30]
+            ids = list(range(at, at + len(part)))
+            best.show(part, pa.RecordBatch.from_arrays([pa.array(ids)], ["id"]), [f"g{i % 17}" for i in ids] if grouped else None)
+            if at % 90 == 0:
+                best.prune()
+        got = best.result(["q", "score", "id"]).to_pylist()
+        for q in range(5):
+            score = np.round(rows @ asked[q], 9)
+            order = sorted(range(400), key=lambda i: (-score[i], i))
+            top = {}
+            for i in order:
+                top.setdefault(f"g{i % 17}" if grouped else i, i)
+            assert set(list(top.values())[:6]) <= {x["id"] for x in got if x["q"] == q}
+        assert len(got) < 5 * 40
+
+
+def test_whole_text_scores(spark):
+    """The best piece of a whole text counts, and room beside a long query is smaller."""
+    far = " ".join(["dolgu"] * 300) + " kira bedeli tespiti"
+    cand = spark.createDataFrame([("T", 1, "uzun", "kira bedeli", far), ("T", 2, "kısa", "kira bedeli", "kira"), ("T", 3, "yok", "kira bedeli", None)], "test_id string, sira_once int, decision_id string, sorgu string, text string")
+    got = {r.decision_id: r.puan for r in evaluate.whole_text_scores(cand, 200).collect()}
+    assert got == {"uzun": 1.0, "kısa": 0.5, "yok": 0.0}
+
+
 def test_reranking_judges_all_candidates(spark, tmp_path):
     words = " ".join(f"k{i}" for i in range(40))
     decisions = [("hedef", words + " TCK 141"), ("kopya", words + " TCK 142"), ("madde", "başka bir metin TCK 141"), ("uzak", "ilgisiz")] + [(f"x{i}", f"metin {i}") for i in range(200)]
