@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ WRITTEN = ("utf-8", "cp1254", "iso8859-9", "cp857", "mac-turkish", "cp1252", "cp
 READ = ("cp1252", "latin-1", "cp1254", "iso8859-9", "cp850", "cp857", "cp437", "mac-roman", "mac-turkish", "cp1250", "iso8859-2", "cp1251", "iso8859-15")
 #: encodings whose writers or readers put a mark for what they cannot express
 MARKED = ("ascii", "latin-1", "cp1252", "iso8859-9", "cp1254", "cp857")
+#: words put through the chains in a task
+WORDS_PER_TASK = 20_000
 #: corrections are broadcast up to this many rows, else joined by shuffle
 BROADCAST_ROWS = 200_000
 
@@ -97,32 +99,40 @@ def _pieces(rows: DataFrame, text: str) -> DataFrame:
     return rows.filter(F.col("satir_no").isNotNull()).select("satir_no", F.posexplode(cut).alias("pos", "piece")).withColumn("word", _word(F.col("piece")))
 
 
+#: what stands for a character that is lost for good; a correct word has none
+LOST = "\ufffd"
+
+
 def corrections(words: DataFrame) -> DataFrame:
     """garbled, original, ambiguous for a column of words: those that are a garbled form of a more frequent corpus word.
 
     Every distinct word with a character beyond ASCII is put through all chains; the forms are hash-joined with the distinct
-    words. An original counts as verified if the corpus has it at least as often as the form; the most frequent wins (the
-    alphabetically first of equals), so a form garbled twice leads to the clean word. If another verified original is a
-    garbled form of none of them, the form is ambiguous: it is damaged, but can't be restored.
+    words. An original counts as verified if the corpus has it at least as often as the form, or if the form has a LOST mark,
+    which no correct word has; the most frequent wins, and of equals the first by its UTF-8 bytes, so a form garbled twice
+    leads to the clean word. If another verified original is a garbled form of none of them, the form is ambiguous: it is
+    damaged, but can't be restored. A word with a LOST mark of which the corpus has no original is damaged, too: original null.
     """
     counts = words.filter((F.col("word") != "") & F.col("word").rlike("[^\\x00-\\x7F]|\\?")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "word-counts")
+    parts = max(counts.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // WORDS_PER_TASK))
 
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(g, w, n) for w, n in zip(batch["word"], batch["n"]) for g in garbled_forms(w)]
-            for at in range(0, len(pairs), 50_000):
-                yield pd.DataFrame(pairs[at : at + 50_000], columns=["word", "original", "n_original"])
-
-    forms = counts.filter(F.col("word").rlike("[^\\x00-\\x7F]")).mapInPandas(generate, "word string, original string, n_original long")
-    matched = forms.join(counts, "word").filter((F.col("n_original") >= F.col("n")) & (F.col("word") != "?"))
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                forms = list(garbled_forms(word))
+                yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array([word] * len(forms)), pa.array([n] * len(forms), pa.int64())], ["word", "original", "n_original"])
+
+    lost = F.contains("word", F.lit(LOST))
+    clean = counts.filter(F.col("word").rlike("[^\\x00-\\x7F]") & ~lost).repartition(parts, "word")
+    forms = clean.mapInArrow(generate, "word string, original string, n_original long")
+    matched = materialize(forms.join(counts, "word").filter(((F.col("n_original") >= F.col("n")) | lost) & (F.col("word") != "?")), "matched-forms")
     # candidates that are themselves garbled don't compete with their own originals
-    best = F.max_by("original", F.struct("n_original", -F.ascii("original"), F.reverse("original")))
-    ranked = matched.groupBy("word").agg(best.alias("original"), F.collect_set("original").alias("all"))
+    ranked = matched.groupBy("word").agg(F.min_by("original", F.struct(-F.col("n_original"), F.col("original"))).alias("original"))
     bad = ranked.select(F.col("word").alias("candidate"))
-    clean = (
-        matched.join(bad, matched["original"] == bad["candidate"], "left_anti").groupBy("word").agg(F.count_distinct("original").alias("clean"))
-    )
-    return ranked.join(clean, "word", "left").select(F.col("word").alias("garbled"), "original", (F.coalesce("clean", F.lit(0)) > 1).alias("ambiguous"))
+    good = matched.join(bad, matched["original"] == bad["candidate"], "left_anti").groupBy("word").agg(F.count_distinct("original").alias("clean"))
+    found = ranked.join(good, "word", "left").select(F.col("word").alias("garbled"), "original", (F.coalesce("clean", F.lit(0)) > 1).alias("ambiguous"))
+    gone = counts.filter(lost).join(ranked, "word", "left_anti").select(F.col("word").alias("garbled"), F.lit(None).cast("string").alias("original"), F.lit(True).alias("ambiguous"))
+    return found.unionByName(gone)
 
 
 def _marked(rows: DataFrame, text: str) -> DataFrame:
@@ -135,13 +145,12 @@ def _marked(rows: DataFrame, text: str) -> DataFrame:
 
 def _weak() -> Column:
     """A form of one character may as well be a sign of its own; it counts only beside other damage in its line."""
-    return (F.length("garbled") == 1) & ~F.col("piece").contains("\ufffd")
+    return (F.length("garbled") == 1) & ~F.contains("garbled", F.lit(LOST))
 
 
 def found(rows: DataFrame, text: str = "not") -> DataFrame:
-    """satir_no of every line of whose text a word is a garbled form of a corpus word; null and empty texts are none."""
-    damaged = (F.col("garbled").isNotNull() & ~_weak()) | F.col("piece").contains("\ufffd")
-    return _marked(rows, text).filter(damaged).select("satir_no").distinct()
+    """satir_no of every line of whose text a word is a garbled form, by the join with the forms; null and empty texts are none."""
+    return _marked(rows, text).filter(F.col("garbled").isNotNull() & ~_weak()).select("satir_no").distinct()
 
 
 def restore(rows: DataFrame, text: str = "not") -> DataFrame:
@@ -153,7 +162,7 @@ def restore(rows: DataFrame, text: str = "not") -> DataFrame:
     lead = F.regexp_extract("piece", f"^{_EDGE}", 0)
     new = F.concat(lead, F.col("original"), F.substring(F.col("piece"), F.length(lead) + F.length("word") + 1, F.length("piece")))
     state = F.when(F.col("garbled").isNull(), 0).when(F.col("ambiguous"), 3).when(_weak(), 1).otherwise(2)
-    parts = marked.select("satir_no", F.struct("pos", "piece", new.alias("new"), state.alias("state")).alias("part"), ((state > 1) | F.col("piece").contains("\ufffd")).alias("strong"))
+    parts = marked.select("satir_no", F.struct("pos", "piece", new.alias("new"), state.alias("state")).alias("part"), (state > 1).alias("strong"))
     whole = parts.groupBy("satir_no").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("strong").alias("strong"))
     put = lambda p: (p["state"] == 2) | ((p["state"] == 1) & F.col("strong"))
     joined = whole.select(
