@@ -1,16 +1,20 @@
 """Filling fixed-capacity containers with items of varying length (problem 8).
 
 Lengths are rounded up to a grid of GRID steps per capacity, so that the whole problem is a histogram of at most GRID + 1
-numbers, however many items there are. Combinations of up to three distinct lengths, each possibly repeated, that fill a
-container are the columns of a non-negative least-squares problem whose right side is the histogram; the solution, rounded
-down, says how often each combination is used, and what remains of the histogram is packed greedily. The items then take
-their places by their ordinal number within their length.
+numbers, however many items there are. Shallow combinations of lengths that fill a container are the columns of a
+non-negative least-squares problem whose right side is the histogram; the solution, rounded down, says how often each
+combination is used. What remains of the histogram goes through the same once more, with the combinations that leave the least
+room, and what remains then is packed greedily. The items take their places by their ordinal number within their length,
+which follows from counts per partition: no item is shuffled or sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,45 +22,49 @@ from pyspark.sql import functions as F
 from terazi.llm.encoding import count_tokens
 from terazi.session import materialize
 
-GRID = 512
-#: items of a length are numbered in so many groups, so that none gets a third of all rows
-SALTS = 64
-#: combinations tried for each pair of a length and its number of repetitions
-PARTNERS = 24
-
-
-def combinations(sizes: np.ndarray, window: int) -> list[dict[int, int]]:
-    """Combinations {length: repetitions} of at most three distinct lengths that exactly fill the window."""
-    have, out, seen = set(sizes.tolist()), [], set()
-
-    def keep(combo: dict[int, int]) -> None:
-        key = tuple(sorted(combo.items()))
-        if key not in seen:
-            seen.add(key)
-            out.append(combo)
-
-    for a in sizes.tolist():
-        top = window // a
-        for i in range(top, 0, -1) if top <= 3 else (top, top - 1, max(1, top // 2)):
-            left = window - i * a
-            if left == 0:
-                keep({a: i})
-                continue
-            partners = [b for b in sizes.tolist() if b != a and b <= left]
-            for b in partners[:: max(1, len(partners) // PARTNERS)]:
-                for j in {left // b, 1}:
-                    rest = left - j * b
-                    if rest == 0:
-                        keep({a: i, b: j})
-                    elif rest in have and rest not in (a, b):
-                        keep({a: i, b: j, rest: 1})
-                    elif rest == a:
-                        keep({a: i + 1, b: j})
-                    elif rest == b:
-                        keep({a: i, b: j + 1})
-            if left in have and left != a:
-                keep({a: i, left: 1})
-    return out
+GRID = 512  # at most 1,000, so that a combination fits a 64-bit key
+#: offsets of partitions are broadcast up to this many rows, else joined by shuffle
+BROADCAST_ROWS = 500_000
+
+
+def combinations(sizes: np.ndarray, window: int, exact: bool = True) -> np.ndarray:
+    """Rows (a, i, b, j, c, k): i times a, j times b and k times c, of at most three distinct lengths, that fill the window.
+
+    For every pair of lengths a and b, a stands once or as often as it fits, b once, and c is what fits then. exact: nothing
+    is left. Else c is the longest length that fits, and of the combinations with each a those come that leave the least.
+    """
+    if not len(sizes):
+        return np.empty((0, 6), np.int64)
+    none = np.zeros(1, np.int64)
+    partners = np.concatenate([none, sizes])
+    a, b = (x.ravel() for x in np.meshgrid(sizes, partners, indexing="ij"))
+    out = []
+    for i in (np.ones_like(a), np.maximum(1, window // a), np.maximum(1, window // a - 1)):
+        rest = window - i * a - b
+        fits = rest >= 0
+        x, y, n, rest = a[fits], b[fits], i[fits], rest[fits]
+        c = partners[np.searchsorted(partners, rest, "right") - 1]
+        k = np.where(c > 0, rest // np.maximum(c, 1), 0)
+        out.append(np.stack([x, n, y, (y > 0).astype(np.int64), c, k, rest - k * c], 1))
+    rows = np.concatenate(out)
+    if exact:
+        rows = rows[rows[:, 6] == 0]
+    else:
+        least = np.full(window + 1, window, np.int64)
+        np.minimum.at(least, rows[:, 0], rows[:, 6])
+        rows = rows[rows[:, 6] == least[rows[:, 0]]]
+    # the same lengths in one order, equal ones together, each combination once
+    rows = rows[:, :6].copy()
+    for p, q in ((0, 2), (0, 4), (2, 4)):
+        same = (rows[:, p] == rows[:, q]) & (rows[:, q] > 0)
+        rows[same, p + 1] += rows[same, q + 1]
+        rows[same, q : q + 2] = 0
+        swap = rows[:, p] < rows[:, q]
+        rows[swap, p : p + 2], rows[swap, q : q + 2] = rows[swap, q : q + 2].copy(), rows[swap, p : p + 2].copy()
+    key = np.zeros(len(rows), np.int64)
+    for column in rows.T:
+        key = key * (window + 1) + column  # six numbers up to the window, which stays below 2 ** 10
+    return rows[np.unique(key, return_index=True)[1]]
 
 
 def non_negative_least_squares(rows: np.ndarray, values: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -73,30 +81,39 @@ def non_negative_least_squares(rows: np.ndarray, values: np.ndarray, b: np.ndarr
     return x
 
 
+def _solved(left: np.ndarray, window: int, exact: bool) -> list[tuple[dict[int, int], int]]:
+    """Combinations and how often each is used, by least squares; what they use is taken from left (items by length)."""
+    sizes = np.flatnonzero(left)
+    combos = combinations(sizes, window, exact)
+    if not len(combos):
+        return []
+    row = np.zeros(window + 1, np.int64)
+    row[sizes] = np.arange(len(sizes))
+    rows, values = row[combos[:, ::2]], combos[:, 1::2].astype(float)
+    weight = np.sqrt(sizes / window)  # long items are the harder to place later
+    x = np.floor(non_negative_least_squares(rows, values * weight[rows], left[sizes] * weight)).astype(np.int64)
+    used = []
+    for c in np.argsort(-x, kind="stable"):
+        if x[c] < 1:
+            break
+        combo = {int(k): int(m) for k, m in combos[c].reshape(3, 2) if m}
+        times = min(int(x[c]), *(int(left[k]) // m for k, m in combo.items()))
+        if times > 0:
+            used.append((combo, times))
+            for k, m in combo.items():
+                left[k] -= m * times
+    return used
+
+
 def plan(histogram: dict[int, int], window: int = GRID) -> list[tuple[dict[int, int], int]]:
     """[(combination, how often)] that places every item of {length: count}; a combination's sum never exceeds the window."""
-    left = {k: v for k, v in histogram.items() if v > 0}
-    if any(k < 1 or k > window for k in left):
+    if any(k < 1 or k > window for k, v in histogram.items() if v > 0):
         raise ValueError("lengths must lie between 1 and the window")
-    used: list[tuple[dict[int, int], int]] = []
-    sizes = np.array(sorted(left), int)
-    if columns := combinations(sizes, window) if len(sizes) else []:
-        row = {s: i for i, s in enumerate(sizes.tolist())}
-        rows, values = np.zeros((len(columns), 3), int), np.zeros((len(columns), 3))
-        for c, combo in enumerate(columns):
-            for k, (length, times) in enumerate(combo.items()):
-                rows[c, k], values[c, k] = row[length], times
-        b = np.array([left[s] for s in sizes.tolist()], float)
-        weight = np.sqrt(sizes / window)  # long items are the harder to place later
-        x = np.floor(non_negative_least_squares(rows, values * weight[rows], b * weight)).astype(int)
-        for c in np.argsort(-x):
-            combo = columns[c]
-            times = min(int(x[c]), *(left[k] // m for k, m in combo.items()))
-            if times > 0:
-                used.append((combo, times))
-                for k, m in combo.items():
-                    left[k] -= m * times
-    left = {k: v for k, v in left.items() if v}
+    counts = np.zeros(window + 1, np.int64)
+    for k, v in histogram.items():
+        counts[k] = max(0, v)
+    used = _solved(counts, window, True) + _solved(counts, window, False)
+    left = {int(k): int(counts[k]) for k in np.flatnonzero(counts)}
     while left:  # each round uses up a length
         room, combo = window, {}
         for k in sorted(left, reverse=True):
@@ -124,7 +141,50 @@ def _slots(used: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in slots.items()}
 
 
-def pack(items: DataFrame, capacities: dict[str, int], grid: int = GRID) -> DataFrame:
+def _parts(items: DataFrame, caps: list[int], grid: int) -> DataFrame:
+    """doc_id, parca_no, baslangic, tokens, cap, step, part, nth: what goes into containers of each capacity.
+
+    step is the length on the grid, rounded up (capacities below the grid are their own grid). nth counts within the
+    partition, cap and step from 0; it is written down together with the partition's number, so that both keep their meaning.
+    """
+    names = ["doc_id", "parca_no", "baslangic", "tokens", "cap", "step", "part", "nth"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen = {c: np.zeros(min(grid, c) + 1, np.int64) for c in caps}
+        for batch in batches:
+            whole = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+            for cap in caps:
+                n = np.maximum(1, -(-whole // cap))
+                for at, to in _slices(n):
+                    owner = np.repeat(np.arange(at, to), n[at:to])
+                    number = np.arange(len(owner)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to])
+                    tokens = np.minimum(cap, whole[owner] - number * cap)
+                    step = -(-tokens * min(grid, cap) // cap)
+                    order = np.argsort(step, kind="stable")
+                    first = np.searchsorted(step[order], step[order], "left")
+                    nth = np.empty(len(step), np.int64)
+                    nth[order] = np.arange(len(step)) - first
+                    nth += seen[cap][step]
+                    seen[cap] += np.bincount(step, minlength=len(seen[cap]))
+                    same = lambda v, m=len(owner): pa.array(np.full(m, v, np.int32))
+                    ints = lambda v: pa.array(v.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), ints(number), pa.array(number * cap), pa.array(tokens), same(cap), ints(step), same(part), pa.array(nth)], names)
+
+    rows = items.select("doc_id", F.col("tokens").cast("long"))
+    return materialize(rows.mapInArrow(run, "doc_id long, parca_no int, baslangic long, tokens long, cap int, step int, part int, nth long"), "parts")
+
+
+def _slices(n: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of items that give at most so many parts, or of a single item."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def pack(items: DataFrame, capacities: dict[str, int], grid: int = GRID, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """model, doc_id, parca_no, baslangic, tokens, konteyner for every item of (doc_id, tokens) and every capacity by name.
 
     An item beyond the capacity is split into full containers and a rest; no other is split. An item of no tokens (or of
@@ -137,38 +197,36 @@ def pack(items: DataFrame, capacities: dict[str, int], grid: int = GRID) -> Data
     if not named:
         return spark.createDataFrame([], schema)
     caps = sorted(set(named.values()))  # models of one capacity share their containers' plan
-    cap_table = F.broadcast(spark.createDataFrame([(c,) for c in caps], "cap long"))
-    sized = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("whole")).crossJoin(cap_table)  # a row per capacity
-    last = F.greatest(F.ceil(F.col("whole") / F.col("cap")) - 1, F.lit(0)).cast("int")
-    parts = sized.select("doc_id", "whole", "cap", F.explode(F.sequence(F.lit(0), last)).alias("parca_no"))
-    start = F.col("parca_no") * F.col("cap")
-    parts = parts.withColumns({"baslangic": start, "tokens": F.least(F.col("cap"), F.col("whole") - start)})
-    # length on the grid, rounded up; capacities below the grid are their own grid
-    step = F.ceil(F.col("tokens") * F.least(F.lit(grid), F.col("cap")) / F.col("cap")).cast("int")
-    parts = parts.withColumns({"step": step, "salt": F.pmod(F.xxhash64("doc_id", "parca_no"), F.lit(SALTS)).cast("int")})
-    counts = parts.groupBy("cap", "step", "salt").agg(F.count("*").alias("n")).collect()  # at most capacities x GRID x SALTS rows
+    parts = _parts(items, caps, grid)
+    counts = materialize(parts.groupBy("cap", "step", "part").agg(F.count("*").alias("n")), "part-counts")
     histogram: dict[int, dict[int, int]] = {c: {} for c in caps}
-    before: dict[tuple, int] = {}
-    for r in sorted(counts, key=lambda r: (r.cap, r.step, r.salt)):
-        before[r.cap, r.step, r.salt] = histogram[r.cap].get(r.step, 0)
-        histogram[r.cap][r.step] = before[r.cap, r.step, r.salt] + r.n
-    slots = {c: _slots(plan({k: v for k, v in h.items() if k > 0}, min(grid, c))) for c, h in histogram.items()}
-
-    @F.pandas_udf("long")
-    def container(cap: pd.Series, step: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
-        out = pd.Series(pd.NA, index=cap.index, dtype="Int64")
-        for (c, k), rows in step.groupby([cap, step]).groups.items():
-            if k > 0:
-                at, places, first = slots[c][k]
-                ordinal = rank[rows].to_numpy() - 1 + np.array([before[c, k, s] for s in salt[rows]])
-                which = np.searchsorted(at, ordinal, "right") - 1
-                out[rows] = first[which] + (ordinal - at[which]) // places[which]
-        return out
-
-    rank = F.row_number().over(W.partitionBy("cap", "step", "salt").orderBy("doc_id", "parca_no"))
-    placed = parts.withColumn("rank", rank).withColumn("konteyner", container("cap", "step", "salt", "rank"))
-    models = F.broadcast(spark.createDataFrame(list(named.items()), "model string, cap long"))
-    return placed.join(models, "cap").select("model", "doc_id", "parca_no", "baslangic", "tokens", "konteyner")
+    for r in counts.filter("step > 0").groupBy("cap", "step").agg(F.sum("n").alias("n")).collect():  # at most capacities x GRID rows
+        histogram[r.cap][r.step] = r.n
+    slots = spark.sparkContext.broadcast({c: _slots(plan(h, min(grid, c))) for c, h in histogram.items()})
+    # where each partition's items of a length begin among all of that length
+    before = W.partitionBy("cap", "step").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    small = counts.count() <= broadcast_rows
+    placed = parts.join(F.broadcast(offsets) if small else offsets, ["cap", "step", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cap, step, ordinal = (batch.column(i).to_numpy() for i in range(3))
+            out = np.full(len(cap), -1, np.int64)
+            key = cap.astype(np.int64) * (grid + 1) + step
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            for rows in np.split(order, starts[1:]):
+                if len(rows) and step[rows[0]] > 0:
+                    at, places, first = slots.value[int(cap[rows[0]])][int(step[rows[0]])]
+                    which = np.searchsorted(at, ordinal[rows], "right") - 1
+                    out[rows] = first[which] + (ordinal[rows] - at[which]) // places[which]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 7)), batch.column(0), pa.array(out, mask=out < 0)], ["doc_id", "parca_no", "baslangic", "tokens", "cap", "konteyner"])
+
+    rows = placed.select("cap", "step", (F.col("offset") + F.col("nth")).alias("ordinal"), "doc_id", "parca_no", "baslangic", "tokens")
+    done = rows.mapInArrow(run, "doc_id long, parca_no int, baslangic long, tokens long, cap int, konteyner long")
+    models = F.broadcast(spark.createDataFrame(list(named.items()), "model string, cap int"))  # a row for each capacity asked for
+    return done.join(models, "cap").select("model", "doc_id", "parca_no", "baslangic", "tokens", "konteyner")
 
 
 def pack_documents(docs: DataFrame, models: DataFrame, path: str | None = None) -> DataFrame:
@@ -177,8 +235,23 @@ def pack_documents(docs: DataFrame, models: DataFrame, path: str | None = None)
     models is a small table; a null model or max_tokens is left out.
     """
     capacities = {r.model: r.max_tokens for r in models.select("model", "max_tokens").collect() if r.model is not None}
-    sizes = materialize(count_tokens(docs.select("doc_id", "text"), "text", "tokens", path), "sizes")
-    return pack(sizes, capacities)
+    return pack(count_tokens(docs.select("doc_id", "text"), "text", "tokens", path), capacities)
+
+
+def invariants(packed: DataFrame, docs: DataFrame, models: DataFrame) -> DataFrame:
+    """model, belge, fazla, bolunen, eksik: documents packed, containers beyond their capacity, documents split though they fit a
+    container or into more parts than need be, and documents whose parts don't follow each other from 0 to their end."""
+    caps = models.filter(F.col("max_tokens") > 0).groupBy("model").agg(F.max("max_tokens").alias("cap"))
+    used = packed.filter(F.col("konteyner").isNotNull()).groupBy("model", "konteyner").agg(F.sum("tokens").alias("t"))
+    over = used.join(caps, "model").groupBy("model").agg(F.sum((F.col("t") > F.col("cap")).cast("int")).alias("fazla"))
+    part = F.struct("baslangic", "tokens")
+    per = packed.groupBy("model", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.max(F.col("baslangic") + F.col("tokens")).alias("end"), F.count_distinct(part).alias("distinct"), F.count("konteyner").alias("placed"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("t") / F.col("cap")))
+    whole = per.join(caps, "model").groupBy("model").agg(
+        F.count("*").alias("belge"), F.sum((F.col("n") != need).cast("int")).alias("bolunen"),
+        F.sum(((F.col("t") != F.col("end")) | (F.col("distinct") != F.col("n")) | ((F.col("placed") != F.col("n")) != (F.col("t") == 0))).cast("int")).alias("eksik"),
+    )
+    return whole.join(over, "model", "left").select("model", "belge", F.coalesce("fazla", F.lit(0)).alias("fazla"), "bolunen", "eksik")
 
 
 def fill_report(packed: DataFrame, models: DataFrame) -> DataFrame:
