@@ -1,6 +1,7 @@
 import random
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,15 +22,20 @@ def decisions(spark, n=400):
 
 
 def test_reservoirs_merge():
+    """Any split and order of the rows gives a true bottom sample, as far as the merged horizon."""
     r = random.Random(1)
-    rows = [pd.DataFrame({"id": [f"i{j}"], "key": [r.randint(0, 50)]}) for j in range(60)]
-    whole, a, b = (q.Reservoirs({1: 10}) for _ in range(3))
-    for j, row in enumerate(rows):
-        whole.add(1, row)
-        (a, b)[j % 2].add(1, row)
-    merged = b.merge(a)
-    want = sorted(zip(whole.kept[1].key, whole.kept[1].id))
-    assert sorted(zip(merged.kept[1].key, merged.kept[1].id)) == want and merged.count[1] == 60 and len(want) == 10
+    rows = [(r.randint(0, 500), f"i{j}") for j in range(300)]
+    made = lambda part: q.Reservoir().add(np.array([k for k, _ in part], np.int64), pa.array([i for _, i in part], pa.string()))
+    for size in (7, 50, 299):
+        parts = [made(rows[at : at + size]) for at in range(0, 300, size)]
+        r.shuffle(parts)
+        whole = q.Reservoir()
+        for p in parts:
+            p.trim(20)
+            whole.merge(p)
+        whole.trim(10)
+        assert whole.seen == 300 and sorted(zip(whole.keys.tolist(), whole.ids.to_pylist())) == sorted(x for x in rows if x[0] < whole.horizon)
+        assert len(whole.keys) <= 10 < sum(k <= whole.horizon for k, _ in rows)
 
 
 def test_quota_sample(spark):
@@ -43,6 +49,8 @@ def test_quota_sample(spark):
     assert len({r.id for r in got}) == 21
     again = {r.id for r in q.quota_sample(df.repartition(9), targets)[0].collect()}
     assert again == {r.id for r in got}
+    # partitions that keep too little are found out, and the sample stays the same
+    assert {r.id for r in q.quota_sample(df.repartition(9), targets, slack=0.0)[0].collect()} == again
     assert {(r.source, r.court) for r in q.found(df, targets).collect()} == {("emsal", "2. Daire")}
     sample, report = q.quota_sample(df.limit(0), targets)
     assert sample.count() == 0 and report.agg(F.sum("var")).first()[0] == 0

@@ -1,5 +1,6 @@
 import random
 
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -119,6 +120,41 @@ def test_packing(spark):
     assert pk.pack(spark.createDataFrame(items, "doc_id long, tokens long"), {}).count() == 0
 
 
+def test_packing_ways(spark):
+    """Offsets that are joined place items as those that are broadcast; every place is taken once; few containers are used."""
+    r = random.Random(8)
+    items = spark.createDataFrame([(i, r.randint(1, 300)) for i in range(4000)], "doc_id long, tokens long").repartition(7)
+    caps = {"a": 512, "b": 700}
+    one = sorted(tuple(x) for x in pk.pack(items, caps).collect())
+    check_packing(pk.pack(items, caps).collect(), caps)
+    other = pk.pack(items, caps, broadcast_rows=0).collect()
+    used = check_packing(other, caps)
+    assert len(other) == len(one) == 8000
+    for m, cap in caps.items():
+        bound = -(-sum(x[4] for x in one if x[0] == m) // cap)
+        assert len([k for k in used if k[0] == m]) <= 1.02 * bound + 1
+    docs, models = items.select("doc_id"), spark.createDataFrame(list(caps.items()), "model string, max_tokens int")
+    assert sorted(tuple(x) for x in pk.invariants(pk.pack(items, caps), docs, models).collect()) == [("a", 4000, 0, 0, 0), ("b", 4000, 0, 0, 0)]
+    broken = spark.createDataFrame([("a", 1, 0, 0, 300, 0), ("a", 2, 0, 0, 300, 0), ("a", 3, 0, 0, 200, 1), ("a", 3, 1, 200, 100, 1), ("a", 4, 0, 5, 7, 2)], "model string, doc_id long, parca_no int, baslangic long, tokens long, konteyner long")
+    assert [tuple(x) for x in pk.invariants(broken, docs, models.limit(1)).collect()] == [("a", 4, 1, 1, 1)]
+
+
+def test_combinations_leave_nothing_out():
+    """All exact pairs and triples of lengths are there, and where nothing fills the window, the fullest ones."""
+    import itertools
+
+    sizes = [3, 5, 8, 9, 14, 20]
+    made = {tuple(sorted((int(k), int(m)) for k, m in row.reshape(3, 2) if m)) for row in pk.combinations(np.array(sizes), 28)}
+    for k in (2, 3):
+        for combo in itertools.combinations_with_replacement(sizes, k):
+            if sum(combo) == 28:
+                assert tuple(sorted((x, combo.count(x)) for x in set(combo))) in made
+    loose = pk.combinations(np.array([180, 200, 259]), 512, exact=False)
+    assert len(pk.combinations(np.array([180, 200, 259]), 512)) == 0 and {sum(int(k) * int(m) for k, m in row.reshape(3, 2)) for row in loose} >= {459}
+    fewer = sum(t for _, t in pk.plan({180: 100, 332: 100, 250: 10}, 512))
+    assert fewer == 105
+
+
 @settings(max_examples=60, deadline=None)
 @given(hs.dictionaries(hs.integers(1, 40), hs.integers(0, 30), max_size=12))
 def test_plan_places_all(histogram):
@@ -159,6 +195,17 @@ def test_garbled(spark):
     assert ga.found(df.limit(0)).count() == 0 and ga.restore(df.limit(0)).count() == 0
 
 
+def test_garbled_lost_words(spark):
+    """A word with a mark of loss is damaged by the join even if the corpus has no original; of equals the first by bytes wins."""
+    df = spark.createDataFrame([(1, "ilk çıktı"), (2, "qx�zw son"), (3, "temiz"), (4, "şal"), (5, "çal"), (6, "?al bitti")], "satir_no long, `not` string")
+    fixes = {r.garbled: r for r in ga.corrections(ga._pieces(df, "not").select("word")).collect()}
+    assert fixes["qx�zw"].original is None and fixes["qx�zw"].ambiguous
+    assert fixes["?al"].original == "çal" and fixes["?al"].ambiguous
+    assert {r.satir_no for r in ga.found(df).collect()} == {2, 6}
+    got = {r.satir_no: r for r in ga.restore(df).collect()}
+    assert (got[2].restored, got[2].lost) == ("qx�zw son", 1) and got[6].restored == "?al bitti"
+
+
 def test_garbled_forms():
     assert {"Ã¼n", "�n", "?n"} <= ga.garbled_forms("ün") and "ün" not in ga.garbled_forms("ün") and not ga.garbled_forms("abc")
     assert "ağÄ±r" in ga.garbled_forms("ağır") and "aÄŸır" in ga.garbled_forms("ağır")
