@@ -113,6 +113,33 @@ def best_of(table: DataFrame, group: list[str], order: list[str], config: list[s
     return top_k(keep_first(rows.filter(F.col(order[0]).isNotNull()), [*group, *[c for c in config if c not in group]], by), group, by, n)
 
 
+def best_fetchers(table: DataFrame, n: int = 3) -> DataFrame:
+    """The n best configurations without a reranker for each pool and task, by hits at a hundred, at five and at one.
+
+    table: report_table() with ilk100, which per_task() derives from per-query results.
+    """
+    return best_of(table, ["havuz", "test_adi"], ["ilk100", "ilk5", "ilk1"], n=n, without_rerank=True)
+
+
+def rank_histogram(rankings: DataFrame) -> DataFrame:
+    """Of a query asked many times: test_id, sira, n: how often its target came at which rank; null where it never came."""
+    per = rankings.groupBy("test_id", "tekrar").agg(F.min(F.when(F.col("hedef"), F.col("rank"))).alias("sira"))
+    return per.groupBy("test_id", "sira").agg(F.count("*").alias("n"))
+
+
+def of_version(results: DataFrame, version: str) -> DataFrame:
+    """Results whose test_id is of a version of the test set, by what stands before its first hyphen."""
+    return results.filter(F.substring_index("test_id", "-", 1) == version)
+
+
+def with_separator(log: DataFrame, label: str) -> DataFrame:
+    """The log and, if it has none with this label, a separator line at its end; its number follows the last one."""
+    mark = f"# {label}"
+    last = log.agg(F.coalesce(F.max("satir_no"), F.lit(0)).alias("_last"), F.coalesce(F.max((F.col("tarih") == mark).cast("int")), F.lit(0)).alias("_has"))
+    line = last.filter("_has = 0").select((F.col("_last") + 1).cast(dict(log.dtypes)["satir_no"]).alias("satir_no"), F.lit(mark).alias("tarih"))
+    return unite(log, line)
+
+
 def per_task(results: DataFrame, rank: str) -> DataFrame:
     """Hits at 1, 5, 10 and 100 of each run and task, to one digit. results: deneme, sorgu_tipi and a rank column."""
     from terazi.operators.evaluate import hit_share

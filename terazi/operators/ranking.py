@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terazi.session import broadcast_small
+
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by an explicit order; null keys form a group."""
@@ -52,7 +54,7 @@ def between_or_all(rows: DataFrame, column: str, low: int, high: int, group: str
     """Rows whose column lies between two numbers; a group without such a row comes whole."""
     fits = F.col(column).between(low, high)
     any_fits = rows.groupBy(group).agg(F.max(fits).alias("_any"))
-    return rows.join(F.broadcast(any_fits), group).filter(fits | ~F.coalesce("_any", F.lit(False))).drop("_any")
+    return rows.join(broadcast_small(any_fits), group).filter(fits | ~F.coalesce("_any", F.lit(False))).drop("_any")
 
 
 def unite(*tables: DataFrame) -> DataFrame:

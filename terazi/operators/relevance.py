@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terazi.functions.text import shingles
 from terazi.operators import patterns as P
-from terazi.session import spread
+from terazi.session import broadcast_small, materialize, spread
 
 SIBLING, LAW, LEAST_DF, SPECIFIC_SHARE, SHINGLE_WORDS = 0.70, 0.60, 5, 0.01, 5
 _rx = functools.cache(re.compile)
@@ -62,7 +62,7 @@ def law_overlap(pairs: DataFrame, cited: DataFrame, weights: DataFrame) -> DataF
     """pairs (target, candidate) with law_share, the weight of the target's citations that the candidate has too (null without
     citations or weight), and shares_specific. Pairs come out once each."""
     pairs = pairs.select("target", "candidate").distinct()
-    weighted = cited.join(F.broadcast(weights), ["law", "article"])
+    weighted = cited.join(broadcast_small(weights), ["law", "article"])
     mine = pairs.join(weighted.withColumnRenamed("id", "target"), "target", "left")
     other = cited.select(F.col("id").alias("candidate"), "law", "article", F.lit(1).alias("both"))
     joined = mine.join(other, ["candidate", "law", "article"], "left")
@@ -94,12 +94,27 @@ def text_overlap(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     return sized.join(common, ["target", "candidate"], "left").select("target", "candidate", (F.coalesce("common", F.lit(0)) / smaller).alias("text_share"))
 
 
+def near_copies(targets: DataFrame, rows: DataFrame, least: float = SIBLING) -> DataFrame:
+    """target, candidate, text_share of every decision of the pool that is a near copy of a target, itself apart.
+
+    targets: target, a stated set of queries. They meet the pool's runs by equality; a run of one text is counted once, and
+    what is grouped is pairs that share a run, at most targets x decisions.
+    """
+    runs = materialize(shingle_table(rows), "shingles")
+    sizes = runs.groupBy("id").agg(F.count("*").alias("n"))
+    asked = runs.join(targets.select(F.col("target").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "target")
+    common = asked.join(runs.withColumnRenamed("id", "candidate"), "shingle").filter("target <> candidate").groupBy("target", "candidate").agg(F.count("*").alias("c"))
+    size = lambda key: sizes.select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"))
+    share = F.col("c") / F.least("n_target", "n_candidate")
+    return common.join(size("target"), "target").join(size("candidate"), "candidate").select("target", "candidate", share.alias("text_share")).filter(F.col("text_share") >= least)
+
+
 def judged_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """target, candidate, neden: kardes for near copies, else kanun for enough shared statutes with a specific one, else null.
 
     rows: id, text of the whole original pool, from which rarity is counted; repeated rows of an id count once.
     """
-    cited = citations(rows).cache()
+    cited = materialize(citations(rows), "citations")
     size = rows.select("id").filter(F.col("id").isNotNull()).distinct().count()
     law = law_overlap(pairs, cited, citation_weights(cited, size))
     named = pairs.select(F.col("target").alias("id")).union(pairs.select("candidate")).distinct()

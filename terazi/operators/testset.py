@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terazi.functions.text import collapse_whitespace, header, overlap_share, stems
 from terazi.operators.ranking import stacked
 from terazi.operators.sampling import smallest_per_group, source_key
+from terazi.session import broadcast_small
 
 #: query kinds by their letter, and which belong to a version (fixed values)
 KINDS = {"H": "hukukcu_dili", "A": "avukat_dili", "F": "farkli_olay", "D": "dilekce"}
@@ -33,7 +34,7 @@ def long_form(matched: DataFrame, version: str) -> DataFrame:
 
 def defects(tests: DataFrame, decisions: DataFrame) -> DataFrame:
     """test_id, kusur of queries whose target is missing or whose evidence doesn't stand in it, white space aside."""
-    texts = decisions.filter(F.col("id").isNotNull()).select(F.col("id").alias("karar_id"), "text").join(F.broadcast(tests.select("karar_id").distinct()), "karar_id", "left_semi").groupBy("karar_id").agg(F.max("text").alias("text"))
+    texts = decisions.filter(F.col("id").isNotNull()).select(F.col("id").alias("karar_id"), "text").join(broadcast_small(tests.select("karar_id").distinct()), "karar_id", "left_semi").groupBy("karar_id").agg(F.max("text").alias("text"))
     joined = tests.join(texts, "karar_id", "left")
     held = F.contains(collapse_whitespace(F.col("text")), collapse_whitespace(F.col("kanit")))
     flaw = F.when(F.col("text").isNull(), "hedef_yok").when(~F.coalesce(held, F.lit(False)), "kanit_yok")
@@ -51,7 +52,7 @@ def borrowed_words(tests: DataFrame, decisions: DataFrame, others: int = 20, see
     keyed = slim.select("id", "kaynak").distinct().withColumn("key", F.md5(F.concat_ws("|", "id", F.lit(seed)))).withColumn("want", F.lit(others + 1))
     drawn = smallest_per_group(keyed, "kaynak", "key", F.col("want")).select("id", "kaynak", "key")
     needed = drawn.select("id").union(tests.select("karar_id")).distinct()
-    stemmed = slim.join(F.broadcast(needed), "id", "left_semi").dropDuplicates(["id"]).select("id", stems(F.col("text")).alias("govde"))
+    stemmed = slim.join(broadcast_small(needed), "id", "left_semi").dropDuplicates(["id"]).select("id", stems(F.col("text")).alias("govde"))
     queries = tests.select("test_id", "kaynak", "karar_id", "sorgu_tipi", stems(F.col("sorgu")).alias("q"))
     own = queries.join(stemmed.withColumnRenamed("id", "karar_id"), "karar_id").select("test_id", "sorgu_tipi", overlap_share(F.col("q"), F.col("govde")).alias("hedef"))
     pairs = queries.join(drawn, "kaynak").filter(F.col("id") != F.col("karar_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terazi.functions import text as tx
 from terazi.functions.turkish import SQL_FROM, SQL_TO, spelling_key_sql
 from terazi.operators import chunking, cleaning, evaluate, experiments, ranking, relevance, sampling, search, sections, testset
-from terazi.plans import pipeline
+from terazi.plans import more, pipeline
 from terazi.session import table
 from terazi.sources import io
 from terazi.streaming import incremental
@@ -57,8 +57,14 @@ def _identity(e: DataFrame) -> DataFrame:
 
 
 def _repeated(e: DataFrame) -> DataFrame:
-    runs = [_best_labels(e, 10).select(F.col("query").alias("test_id"), F.lit(i).alias("tekrar"), "rank", F.col("label").alias("decision_id"), "score", (F.col("label") == 0).alias("hedef")) for i in range(3)]
-    return experiments.repeatability(ranking.unite(*runs))
+    return experiments.repeatability(_runs(e))
+
+
+def _runs(e: DataFrame) -> DataFrame:
+    """Three runs of each query that see different rows, so that their results may differ."""
+    seen = [search.search(_asked(e), e.filter(F.col("vec_id") % 3 != i), 10, row_key="vec_id", group="label") for i in range(3)]
+    runs = [r.select(F.col("query").alias("test_id"), F.lit(i).alias("tekrar"), "rank", F.col("label").alias("decision_id"), "score", (F.col("label") == 0).alias("hedef")) for i, r in enumerate(seen)]
+    return ranking.unite(*runs)
 
 
 # -- decisions ---------------------------------------------------------------------------
@@ -148,13 +154,33 @@ def _by_nation(o: DataFrame, c: DataFrame, n: DataFrame) -> DataFrame:
     return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("toplam"))
 
 
+_GRID = [(size, tokens, experiments.run_name(*r), r[1]) for size in (2000, 10000) for tokens in (8192, 512) for r in experiments.grid(size, tokens)]
+
+
 def _grid_rows(m: DataFrame) -> DataFrame:
-    runs = [(size, tokens, experiments.run_name(*r), r[1]) for size in (2000, 10000) for tokens in (8192, 512) for r in experiments.grid(size, tokens)]
-    frame = io.values(m.sparkSession, runs, "havuz int, model_token int, deneme string, sinir int")
+    frame = io.values(m.sparkSession, _GRID, "havuz int, model_token int, deneme string, sinir int")
     fit = m.select("model", F.col("max_tokens").alias("model_token"), "batch_tokens")
     return fit.join(F.broadcast(frame), "model_token").select("model", "havuz", "deneme", tx.batch_rows(F.col("sinir"), 16384).alias("yigin"))
 
 
+def _clean_grid_rows(m: DataFrame) -> DataFrame:
+    limits = [r.max_tokens for r in m.select("max_tokens").distinct().collect()]  # a row per model
+    runs = [(size, t, experiments.run_name(*r)) for size in (2000, 10000) for t in limits for r in experiments.clean_grid(t, size)]
+    return m.join(io.values(m.sparkSession, runs, "havuz int, max_tokens int, deneme string"), "max_tokens").select("model", "havuz", "deneme")
+
+
+def _separated(e: DataFrame) -> DataFrame:
+    log = experiments.with_separator(experiments.with_separator(e, "yeni ölçüm"), "yeni ölçüm")
+    return log.agg(F.count("*").alias("n"), F.count_if(F.startswith("tarih", F.lit("#"))).alias("ayrac"), F.max("satir_no").alias("son"))
+
+
+def _defects(t: DataFrame, k: DataFrame) -> DataFrame:
+    """The test set, and again with evidence that is turned round and with targets that are missing, which must be found."""
+    turned = t.withColumns({"test_id": F.concat(F.lit("ters-"), "test_id"), "kanit": F.reverse("kanit")})
+    missing = t.withColumns({"test_id": F.concat(F.lit("yok-"), "test_id"), "karar_id": F.concat(F.lit("yok-"), "karar_id")})
+    return testset.defects(ranking.unite(t, turned, missing), k)
+
+
 def _method(name: str) -> Query:
     return over("kararlar")(lambda k: chunking.chunk_table(k, name, METHOD_LIMIT))
 
@@ -171,7 +197,8 @@ def queries() -> dict[str, Query]:
         "hit_at_k_by_group": over("embeddings")(lambda e: evaluate.wide_summary(_own_label(e), "sira", ["own"])),
         "pivot_top5": over("embeddings")(lambda e: ranking.widened(_best_labels(e).withColumn("label", F.col("label").cast("string")), ["query"], "label")),
         "rerank_identity": over("embeddings")(_identity),
-        "repeatability": over("embeddings")(_repeated),
+        "repeatability": over("embeddings")(lambda e: _repeated(e).withColumn("skor_araligi", F.round("skor_araligi", 6))),
+        "rank_histogram": over("embeddings")(lambda e: experiments.rank_histogram(_runs(e))),
         "pool_summary": over("kararlar")(sampling.pool_summary),
         "quota_sample": over("kararlar")(lambda k: sampling.quota_sample(k, 1000).select("id", "source")),
         "newest_n_per_source": over("kararlar")(lambda k: sampling.newest_per_source(k, 400)),
@@ -179,7 +206,8 @@ def queries() -> dict[str, Query]:
         "block_sample": over("kararlar", "havuz_uyelik")(lambda k, h: sampling.block_sample(k.join(h.groupBy("id").agg(F.min("dosya").alias("dosya")), "id"), "dosya", 1000)),
         "random_per_source": over("kararlar")(lambda k: sampling.sample_per_group(k.withColumn("source", sampling.source_key(F.col("source"))), "source", 3)),
         "duplicate_ids": over("kararlar")(sampling.duplicate_ids),
-        "block_statistics": lambda spark, d: io.block_statistics(spark, f"{d}/kararlar.parquet", "karar_tarihi"),
+        "row_groups": lambda spark, d: io.row_groups(spark, f"{d}/kararlar.parquet", "karar_tarihi").groupBy().agg(F.sum("satir").alias("satir"), F.max("en_buyuk").alias("en_buyuk")),
+        "row_group_rows": lambda spark, d: io.read_row_groups(io.row_groups(spark, f"{d}/kararlar.parquet", "id"), ["id", "year"], "id string, year int").groupBy("year").agg(F.count("*").alias("n"), F.count_distinct("id").alias("tekil")),
         "source_counts_combined": over("kararlar", "documents")(_counts_by_source),
         "headers": over("kararlar")(_headers),
         "word_count": over("kararlar")(lambda k: _once(k).select("id", tx.word_count(F.col("text")).alias("sozcuk"), F.length(tx.collapse_whitespace(F.col("text"))).alias("uzunluk"))),
@@ -191,7 +219,7 @@ def queries() -> dict[str, Query]:
         "text_overlap_targets": over("kararlar", "test_set")(_target_pairs),
         "evidence_containment": over("kararlar", "test_set")(_evidence),
         "stem_overlap": over("kararlar", "test_set")(_stem_shares),
-        "test_set_defects": over("test_set", "kararlar")(testset.defects),
+        "test_set_defects": over("test_set", "kararlar")(_defects),
         "borrowed_words": over("test_set", "kararlar")(testset.borrowed_words),
         "citations": over("kararlar")(relevance.citations),
         "citation_weights": over("kararlar")(lambda k: relevance.citation_weights(relevance.citations(k), k.select("id").distinct().count())),
@@ -225,6 +253,9 @@ def queries() -> dict[str, Query]:
         "experiment_best_of_three": over("experiments")(_all_best),
         "experiment_values": over("experiments")(lambda e: ranking.value_counts(e, "test_seti")),
         "experiment_grid": over("modeller")(_grid_rows),
+        "clean_grid": over("modeller")(_clean_grid_rows),
+        "log_with_separator": over("experiments")(_separated),
+        **more.queries(),
         "union_by_name_log": over("orders", "events")(_evolving),
         "running_section_flag": over("events")(_flagged_events),
         "newest_per_user": over("events")(lambda e: ranking.top_k(e.select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts").desc(), "event_id"], 3).drop("ts")),
@@ -241,6 +272,9 @@ _LABELS = f"""WITH s AS ({_SCORES}),
     b AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY s DESC, vec_id) AS rn FROM s),
     r AS (SELECT query, vec_id, label, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, label, vec_id) AS rank FROM b WHERE rn = 1)"""
 _OWN = f"""{_LABELS}, o AS (SELECT r.query, e.label AS own, min(CASE WHEN r.label = e.label AND rank <= 100 THEN rank END) AS sira FROM r JOIN embeddings e ON e.vec_id = r.query GROUP BY ALL)"""
+_THREE_RUNS = f"""WITH s AS ({_SCORES}), t AS (SELECT s.*, i FROM s JOIN (VALUES (0), (1), (2)) AS v(i) ON vec_id % 3 <> i),
+    b AS (SELECT *, row_number() OVER (PARTITION BY i, query, label ORDER BY s DESC, vec_id) AS rn FROM t),
+    runs AS (SELECT query AS test_id, i AS tekrar, label, s, row_number() OVER (PARTITION BY i, query ORDER BY s DESC, label, vec_id) AS rank FROM b WHERE rn = 1)"""
 _METRICS = "count(*) AS sorgu, " + ", ".join(f"round(100.0 * avg(CASE WHEN sira <= {k} THEN 1.0 ELSE 0.0 END), 6) AS ilk{k}" for k in evaluate.CUTS) + ", round(avg(coalesce(1.0 / sira, 0)), 6) AS mrr"
 _USABLE = f"""usable AS (
     SELECT * FROM (
@@ -308,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
     base = f"{usable}, base AS ({_drawn(400)}), have AS (SELECT source, count(*) AS have FROM base GROUP BY source)"
     need = f"(SELECT q.source, quota - coalesce(have, 0) AS quota FROM {_quotas(1000)} LEFT JOIN have ON have.source = q.source) AS q"
     report = f"WITH {_SECTIONED.format('experiments')}, {_REPORT} SELECT * FROM report"
-    return {
+    return more.oracle_sql(lambda source: f"coalesce({_mapping(tx.SOURCE_LABELS, source)}, {source})") | {
         "vector_topk_best_per_group": f"{_LABELS} SELECT query, rank, round(s, 6) AS score, vec_id, label FROM r WHERE rank <= 5",
         "vector_topk": f"SELECT query, rank, round(s, 6) AS score, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS rank FROM ({_SCORES})) WHERE rank <= 10",
         "vector_topk_overfetch": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS r FROM ({_SCORES})),
@@ -321,7 +355,22 @@ def oracle_sql() -> dict[str, str]:
         "hit_at_k_by_group": f"{_OWN} SELECT own, {_METRICS} FROM o GROUP BY own",
         "pivot_top5": f"{_LABELS} SELECT query, " + ", ".join(f"coalesce(max(CASE WHEN rank = {i} THEN label::VARCHAR END), '') AS sonuc_{i}" for i in range(1, 6)) + " FROM r GROUP BY query",
         "rerank_identity": f"{_LABELS} SELECT query AS test_id, label, rank AS sira_once, rank AS sira_sonra FROM r WHERE rank <= 10",
-        "repeatability": f"{_LABELS} SELECT query AS test_id, 3 AS tekrar, 1 AS farkli_liste, 3 * max(CASE WHEN label = 0 AND rank <= 5 THEN 1 ELSE 0 END) AS ilk5_bulundu, 0.0::DOUBLE AS skor_araligi FROM r WHERE rank <= 10 GROUP BY query",
+        "repeatability": f"{_THREE_RUNS} SELECT test_id, count(*) AS tekrar, count(DISTINCT liste) AS farkli_liste, sum(bulundu)::BIGINT AS ilk5_bulundu, round(max(ilk) - min(ilk), 6) AS skor_araligi FROM (SELECT test_id, tekrar, list(label ORDER BY rank) AS liste, max(CASE WHEN label = 0 AND rank <= 5 THEN 1 ELSE 0 END) AS bulundu, max(CASE WHEN rank = 1 THEN s END) AS ilk FROM runs GROUP BY test_id, tekrar) GROUP BY test_id",
+        "rank_histogram": f"{_THREE_RUNS} SELECT test_id, sira, count(*) AS n FROM (SELECT test_id, tekrar, min(CASE WHEN label = 0 THEN rank END) AS sira FROM runs GROUP BY test_id, tekrar) GROUP BY test_id, sira",
+        "row_groups": "SELECT count(*) AS satir, max(karar_tarihi) AS en_buyuk FROM kararlar",
+        "row_group_rows": "SELECT year, count(*) AS n, count(DISTINCT id) AS tekil FROM kararlar GROUP BY year",
+        "log_with_separator": f"SELECT count(*) AS n, count(*) FILTER ({_MARK}) AS ayrac, max(satir_no) AS son FROM (SELECT tarih, satir_no FROM experiments UNION ALL SELECT '# yeni ölçüm', max(satir_no) + 1 FROM experiments)",
+        "experiment_grid": f"""WITH runs(havuz, model_token, deneme, sinir) AS (VALUES {", ".join(str(r) for r in _GRID)}) SELECT model, havuz, deneme, greatest(1, floor(16384 / greatest(sinir, 1)))::INT AS yigin FROM modeller JOIN runs ON max_tokens = model_token""",
+        "clean_grid": "SELECT model, pool AS havuz, unnest(CASE WHEN pool = 2000 THEN runs ELSE runs[1:2] END) AS deneme FROM (SELECT model, pool, CASE WHEN max_tokens >= 1024 THEN ['per_decision', 'recursive_c1024_o128', 'recursive_c128_o16', 'recursive_c64_o8'] ELSE ['per_decision', 'recursive_c512_o64', 'recursive_c128_o16', 'recursive_c64_o8'] END AS runs FROM modeller CROSS JOIN (VALUES (2000), (10000)) AS p(pool))",
+        "best_fetchers_at_hundred": f"""WITH {_ONCE_LOG}, {_SECTIONED.format('once_log')}, {_REPORT}, plain AS (SELECT *, ilk10 + satir_no % 5 AS ilk100 FROM report WHERE (reranker IS NULL OR reranker = 'yok') AND havuz IS NOT NULL AND test_adi IS NOT NULL AND ilk10 IS NOT NULL)
+            SELECT havuz, test_adi, rank, satir_no, ilk100, ilk5, ilk1 FROM (SELECT *, row_number() OVER (PARTITION BY havuz, test_adi ORDER BY ilk100 DESC NULLS LAST, ilk5 DESC NULLS LAST, ilk1 DESC NULLS LAST, satir_no) AS rank FROM (
+              SELECT *, row_number() OVER (PARTITION BY {', '.join(dict.fromkeys(['havuz', 'test_adi', *[c for c in experiments.CONFIG if c not in ('reranker', 'reranker_metni')]]))} ORDER BY ilk100 DESC NULLS LAST, ilk5 DESC NULLS LAST, ilk1 DESC NULLS LAST, satir_no) AS c FROM plain) WHERE c = 1) WHERE rank <= 3""",
+        "block_sample": f"""WITH k AS (SELECT id, any_value({_KEY}) AS source, max(length(text)) AS n FROM kararlar WHERE id IS NOT NULL GROUP BY id), h AS (SELECT id, min(dosya) AS block FROM havuz_uyelik GROUP BY id),
+            q AS (SELECT * FROM {_quotas(1000)}), blocks AS (SELECT DISTINCT source, block FROM k JOIN h USING (id)),
+            ranked AS (SELECT b.*, quota, count(*) OVER (PARTITION BY b.source) AS nb, row_number() OVER (PARTITION BY b.source ORDER BY md5(block || '|{sampling.SEED}'), block) AS r FROM blocks b JOIN q ON q.source = b.source WHERE block IS NOT NULL),
+            chosen AS (SELECT source, block, quota, ceil(quota / least(nb, ceil(quota / 100.0))) AS each FROM ranked WHERE r <= least(nb, ceil(quota / 100.0))),
+            drawn AS (SELECT k.id, c.source, c.block, quota, each, row_number() OVER (PARTITION BY c.source, c.block ORDER BY md5(k.id || '|{sampling.SEED}'), k.id) AS rn FROM k JOIN h USING (id) JOIN chosen c ON c.source = k.source AND c.block = h.block WHERE n >= {sampling.MIN_TEXT_LEN})
+            SELECT id, source, block FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(id || '|{sampling.SEED + 1}'), id) AS n FROM drawn WHERE rn <= each) WHERE n <= quota""",
         "pool_summary": f"SELECT {_KEY} AS source, count(*) AS karar, count(DISTINCT court) AS daire, min(year) AS ilk_yil, max(year) AS son_yil, round_even(avg(length(text)), 0)::BIGINT AS ort_uzunluk FROM kararlar GROUP BY 1",
         "quota_sample": f"{usable} {_drawn(1000)}",
         "newest_n_per_source": f"""{usable} SELECT id, source, karar_tarihi FROM (
@@ -344,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
             FROM t a JOIN t b ON a.kaynak = b.kaynak AND a.id < b.id LEFT JOIN r x ON x.id = a.id LEFT JOIN r y ON y.id = b.id""",
         "evidence_containment": f"{once} SELECT test_id, coalesce(contains({_FLAT.format('text')}, {_FLAT.format('kanit')}), false) AS var FROM test_set LEFT JOIN once ON id = karar_id",
         "stem_overlap": f"{once} SELECT test_id, round(len(list_intersect({_STEMS.format('sorgu')}, {_STEMS.format('text')})) / nullif(len({_STEMS.format('sorgu')}), 0), 6) AS pay FROM test_set JOIN once ON id = karar_id",
-        "test_set_defects": f"{once} SELECT test_id, CASE WHEN text IS NULL THEN 'hedef_yok' ELSE 'kanit_yok' END AS kusur FROM test_set LEFT JOIN once ON id = karar_id WHERE NOT coalesce(contains({_FLAT.format('text')}, {_FLAT.format('kanit')}), false)",
+        "test_set_defects": f"{once}, tests AS (SELECT test_id, karar_id, kanit FROM test_set UNION ALL SELECT 'ters-' || test_id, karar_id, reverse(kanit) FROM test_set UNION ALL SELECT 'yok-' || test_id, 'yok-' || karar_id, kanit FROM test_set) SELECT test_id, CASE WHEN text IS NULL THEN 'hedef_yok' ELSE 'kanit_yok' END AS kusur FROM tests LEFT JOIN once ON id = karar_id WHERE NOT coalesce(contains({_FLAT.format('text')}, {_FLAT.format('kanit')}), false)",
         "chunk_fixed_words": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
             s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 64 THEN [0] ELSE range(0, len(w) - 8, 56) END) AS a FROM w)
             SELECT doc_id, (a // 56)::INT AS parca, md5(array_to_string(list_slice(w, a + 1, a + 64), ' ')) AS ozet FROM s""",

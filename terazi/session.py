@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: rows up to which a table may be broadcast whatever Catalyst estimates
+SMALL_ROWS = 200_000
 
 
 def build_session(app: str = "terazi", cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -56,27 +62,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Taken from spark.checkpoint.dir; a local folder is made only where that is unset (tests)."""
+    """The folder all executors see, from spark.checkpoint.dir. On a local master, as in tests, a temporary one is made where that
+    is unset and removed at exit; on a cluster its absence is an error, since no machine's own folder would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if not hasattr(shared_dir, "local"):
-        shared_dir.local = "file://" + tempfile.mkdtemp(prefix="terazi-shared-")
+        folder = tempfile.mkdtemp(prefix="terazi-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shared_dir.local = "file://" + folder
     return shared_dir.local
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/terazi/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/terazi/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder; it survives the loss of any executor."""
+    """Cut the lineage with a table written to the shared folder; it survives the loss of any executor.
+
+    Results are lazy and may be read until the application ends; then the tables it wrote are deleted.
+    """
     path = scratch_path(df.sparkSession, what)
+    _delete_at_exit(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_exit(spark: SparkSession) -> None:
+    """Delete the application's scratch tables when its context is stopped or the driver exits, once per application."""
+    context = spark.sparkContext
+    if context.applicationId != getattr(_delete_at_exit, "done", None):
+        _delete_at_exit.done = context.applicationId
+        folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def broadcast_small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """df, marked for broadcast if by Catalyst's estimate, or else by its number of rows, it is proven small; else as it is."""
+    if estimated_bytes(df) <= most:
+        return F.broadcast(df)
+    rows = df.limit(SMALL_ROWS + 1).count()
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the input has fewer partitions than there are, as small files do; else as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -85,7 +122,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, used to decide whether a side may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def tokenizer_dir() -> str:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +34,40 @@ def read_blocks(spark: SparkSession, path: str, columns: list[str] | None = None
     return rows.select(*(columns or rows.columns), *meta)
 
 
-def block_statistics(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """dosya, blok, satir, en_buyuk: rows and greatest value of a column per block, an empty string where it has none."""
-    return read_blocks(spark, path, [column]).groupBy("dosya", "blok").agg(F.count("*").alias("satir"), F.coalesce(F.max(column).cast("string"), F.lit("")).alias("en_buyuk"))
+def row_groups(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """dosya, grup, satir, en_buyuk: rows and greatest value of a text column per row group, an empty string where the footer has none.
+
+    Only footers are read, a file in a task; a file system that pyarrow doesn't know raises its error.
+    """
+    files = spark.createDataFrame([(f,) for f in sorted(spark.read.parquet(path).inputFiles())], "dosya string").repartition("dosya")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                meta = _parquet_file(name).metadata
+                at = meta.schema.names.index(column)
+                groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+                stats = [g.column(at).statistics for g in groups]
+                most = [str(s.max) if s is not None and s.has_min_max else "" for s in stats]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(groups)), pa.array(range(len(groups)), pa.int32()), pa.array([g.num_rows for g in groups], pa.int64()), pa.array(most)], ["dosya", "grup", "satir", "en_buyuk"])
+
+    return files.mapInArrow(run, "dosya string, grup int, satir long, en_buyuk string")
+
+
+def read_row_groups(groups: DataFrame, columns: list[str], schema: str) -> DataFrame:
+    """Rows of chosen row groups (dosya, grup), only the columns asked for; each group in a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from _parquet_file(name).read_row_group(group, columns=columns).select(columns).to_batches()
+
+    return groups.select("dosya", "grup").repartition("dosya", "grup").mapInArrow(run, schema)
+
+
+def _parquet_file(name: str) -> pq.ParquetFile:
+    system, inner = fs.FileSystem.from_uri(name)
+    return pq.ParquetFile(inner, filesystem=system)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -48,8 +83,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled, nulls are empty."""
-    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    """CSV with a byte order mark and a header in each file; quotes are doubled, nulls are empty."""
+    marked = rows.toDF("\ufeff" + rows.columns[0], *rows.columns[1:])
+    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -58,6 +94,11 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON files that hold an object per line."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """One JSON object per line; letters stay as they are."""
     rows.write.mode("overwrite").json(path)
@@ -68,6 +109,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("ad"), F.regexp_replace("value", "(?U)^\\s+|\\s+$", "").alias("metin"))
 
 
+def write_texts(rows: DataFrame, path: str) -> None:
+    """A text file for each row of (ad, metin) below the path, named by ad with .txt: for small sets, as of queries."""
+    system = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    for r in rows.select("ad", "metin").collect():
+        out = system.create(rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.ad}.txt"), True)
+        out.write((r.metin or "").encode())
+        out.close()
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A relation written out in code."""
     return spark.createDataFrame(rows, schema)
