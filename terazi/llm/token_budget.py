@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terazi.functions.turkish import spelling_key
 from terazi.llm.encoding import count_tokens
+from terazi.session import broadcast_small, materialize
 
 #: a document longer than this is cut; its pieces are spread over the workers
 PIECE_CHARS = 20_000
@@ -27,14 +28,24 @@ def language_key(lang: Column) -> Column:
     return F.when(code.isin("", "und"), None).otherwise(code)
 
 
+#: places at which a pre-token ends and another begins, whatever stands around them: between a letter or number and a blank
+#: before another one; between a letter or number and a sign other than an apostrophe; between a letter and a number; and
+#: between a sign other than an apostrophe and a letter or number that follows it at once
+_BOUNDARY = (
+    "(?<=[\\p{L}\\p{N}])(?= [\\p{L}\\p{N}])|(?<=[\\p{L}\\p{N}])(?=[^\\s\\p{L}\\p{N}'])|(?<=\\p{L})(?=\\p{N})|(?<=\\p{N})(?=\\p{L})|(?<=[^\\s\\p{L}\\p{N}'])(?=[\\p{L}\\p{N}])"
+)
+
+
 def independent_pieces(text: Column, size: int = PIECE_CHARS) -> Column:
-    """The text cut after at least size characters wherever a letter or number is followed by a blank and another one.
+    """The text cut after at least size characters wherever the tokenizer's pre-tokens are proven to end.
 
-    At such a place a pre-token ends and another begins whatever stands around it: runs of letters or numbers never hold a
-    blank, and a blank opens the run after it. So token counts of the pieces add up to the text's. A text without such a
-    place stays whole.
+    Pre-tokens are runs of letters, of numbers, or of other signs, each with at most one blank before it, white space, and an
+    apostrophe with the letters of a contraction. So one ends and another begins at every place named at _BOUNDARY: no run
+    goes on across it, no contraction spans it, and what a run is doesn't depend on what stands before it. Token counts of the
+    pieces add up to the text's. In scripts without blanks the places are before and behind punctuation and numbers; a text
+    without such a place, as a single run of letters, stays whole, since it is a single pre-token.
     """
-    pattern = "(?s).{%d,}?[\\p{L}\\p{N}](?= [\\p{L}\\p{N}])|(?s).+" % size
+    pattern = "(?s).{%d,}?(?:%s)|(?s).+" % (size, _BOUNDARY)
     return F.when(F.length(text) > size, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array(F.coalesce(text, F.lit(""))))
 
 
@@ -65,12 +76,12 @@ def decision_tokens(chunks: DataFrame) -> DataFrame:
     )
     ratio = F.try_divide(F.col("chars"), F.col("tokens"))
     usable = (F.col("tokens") > 0) & (F.col("chars") > 0)
-    medians = rows.filter(usable).groupBy("source").agg(F.percentile_approx(ratio, 0.5, 10_000).alias("median"))
+    medians = materialize(rows.filter(usable).groupBy("source").agg(F.percentile_approx(ratio, 0.5, 10_000).alias("median")), "medians")
     overall = rows.filter(usable).agg(F.percentile_approx(ratio, 0.5, 10_000).alias("overall"))
     # trusted before estimated, then the smaller: packed into one number
     packed = F.col("estimated") * F.lit(1 << 40) + F.col("count")
     judged = (
-        rows.join(F.broadcast(medians), rows["source"].eqNullSafe(medians["source"]), "left")
+        rows.join(broadcast_small(medians), rows["source"].eqNullSafe(medians["source"]), "left")
         .select(rows["*"], "median")
         .crossJoin(F.broadcast(overall))  # one row
         .withColumn("per", F.coalesce("median", "overall", F.lit(4.0)))
@@ -84,7 +95,7 @@ def decision_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def _described(sources: DataFrame) -> DataFrame:
-    return F.broadcast(sources.select(spelling_key(F.col("source")).alias("source_key"), F.col("source").alias("plain"), F.col("lang").alias("src_lang"), F.col("domain").alias("src_domain")).dropDuplicates(["source_key"]))
+    return broadcast_small(sources.select(spelling_key(F.col("source")).alias("source_key"), F.col("source").alias("plain"), F.col("lang").alias("src_lang"), F.col("domain").alias("src_domain")).dropDuplicates(["source_key"]))
 
 
 def token_counts(chunks: DataFrame, docs: DataFrame, sources: DataFrame, path: str | None = None) -> DataFrame:

@@ -71,6 +71,30 @@ def test_independent_pieces(spark, mine, text):
     assert mine.encode(list(row.p), True)[1].sum() == len(mine.encode_one(text))
 
 
+def test_pieces_of_every_script(spark, mine):
+    """Oversized texts without blanks between words are cut, too, and counts of the pieces add up."""
+    texts = ["原告は見ていない。鑑定書を争わない、" * 40, "abc,def;" * 80, "ตามมาตรา๗๒วรรคสอง" * 40, "x=1;y2=3'4;it's" * 50, "डॉ.सरवेकरनेकहा" * 40, "a-b_c'd" * 60, "漢字" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for i, pieces in df.select("i", tb.independent_pieces(F.col("text"), 50).alias("p")).collect():
+        assert "".join(pieces) == texts[i] and mine.encode(pieces, counts_only=True)[1].sum() == len(mine.encode_one(texts[i]))
+        assert (len(pieces) > 3) == (i != 6), texts[i][:20]  # the last is a single run of letters
+
+
+def test_token_totals_planted(spark, mine):
+    """Totals by source, language and domain add up to what each document and decision is known to hold."""
+    texts = {1: "Bu bir deneme metnidir.", 2: "This is a test.", 3: "原告は見ていない。" * 4000, 4: None}
+    docs = spark.createDataFrame([(1, texts[1], "TUR", "A", None), (2, texts[2], "en-GB", "b", "haber"), (3, texts[3], "ja", "b", None), (4, None, None, "b", None)], "doc_id long, text string, lang string, source string, domain string")
+    chunks = spark.createDataFrame([("k", i, "karar", "x" * 400, 100) for i in range(9)] + [("k", 0, "karar", "x" * 400, 100), ("m", 0, "karar", "x" * 400, None)], "decision_id string, chunk_index int, source string, text string, tokens int")
+    sources = spark.createDataFrame([("a", "A", None, None), ("b", "B", None, None), ("karar", "K", "tr", "hukuk")], "source string, etiket string, lang string, domain string")
+    known = {i: len(mine.encode_one(t)) for i, t in texts.items()}
+    want = {("a", "tr", None): (1, known[1]), ("b", "en", "haber"): (1, known[2]), ("b", "ja", None): (1, known[3]), ("b", None, None): (1, 0), ("karar", "tr", "hukuk"): (2, 1000)}
+    rows = tb.token_totals(chunks, docs, sources).collect()
+    assert {(r.source, r.lang, r.domain): (r["items"], r.tokens) for r in rows if r.level == 0} == want
+    (total,) = [r for r in rows if r.level == 7]
+    assert (total["items"], total.tokens) == (6, sum(t for _, t in want.values()))
+    assert {(r.source, r.tokens) for r in rows if r.level == 3} == {("a", known[1]), ("b", known[2] + known[3]), ("karar", 1000)}
+
+
 def test_token_budget(spark, mine):
     docs = spark.createDataFrame(
         [(1, "bir iki " * 9000, "tr-TR", "kaynak", None, 5), (2, None, None, "kaynak", "d", 5), (3, "", "und", None, "d", 5), (4, "a b", "tur", "KAYNAK", "d", 5)], "doc_id long, text string, lang string, source string, domain string, tokens int"
