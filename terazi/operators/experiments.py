@@ -102,6 +102,13 @@ def report_table(log: DataFrame) -> DataFrame:
     )
 
 
+def grouped_sheet(table: DataFrame) -> DataFrame:
+    """The report with a title row before each section: bolum, satir (0 for the title), baslik, and the report's columns, null in
+    title rows. Rows come in order by (bolum, satir)."""
+    titles = table.groupBy("bolum").agg(F.concat(F.lit("Bölüm "), F.first("bolum").cast("string"), F.lit(": "), F.count("*").cast("string"), F.lit(" deneme")).alias("baslik"))
+    return unite(titles.withColumn("satir", F.lit(0).cast("long")), table.withColumn("satir", F.col("satir_no").cast("long")))
+
+
 def best_of(table: DataFrame, group: list[str], order: list[str], config: list[str] = CONFIG, n: int = 3, without_rerank: bool = False) -> DataFrame:
     """The n best configurations of each group by metrics in turn; each configuration once, lines without the first metric left
     out, the earlier line first among equals. A reranker named yok is none."""

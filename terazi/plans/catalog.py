@@ -11,7 +11,8 @@ from terazi.functions import text as tx
 from terazi.functions.turkish import SQL_FROM, SQL_TO, spelling_key_sql
 from terazi.operators import chunking, cleaning, evaluate, experiments, ranking, relevance, sampling, search, sections, testset
 from terazi.plans import more, pipeline
-from terazi.session import table
+from terazi.plans.more import each_id
+from terazi.session import broadcast_small, table
 from terazi.sources import io
 from terazi.streaming import incremental
 
@@ -84,12 +85,14 @@ def _headers(k: DataFrame) -> DataFrame:
     return k.select("id", tx.header(*cols).alias("tam"), tx.header(*cols, full=False).alias("kisa"), tx.case_name(*cols[:3]).alias("ad"))
 
 
-def _once(k: DataFrame) -> DataFrame:
-    return k.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("text").alias("text"))
+def _shingle_counts(k: DataFrame) -> DataFrame:
+    return each_id(k, n=F.when(F.col("text").isNotNull(), F.size(tx.shingles(F.col("text")))))
 
 
-def _shingle_counts(k: DataFrame) -> DataFrame:
-    return _once(k).select("id", F.when(F.col("text").isNotNull(), F.size(tx.shingles(F.col("text")))).alias("n"))
+def _target_texts(k: DataFrame, t: DataFrame) -> DataFrame:
+    """karar_id, text of the decisions that are targets, each once."""
+    wanted = broadcast_small(t.select(F.col("karar_id").alias("id")).distinct())
+    return k.join(wanted, "id", "left_semi").groupBy(F.col("id").alias("karar_id")).agg(F.max("text").alias("text"))
 
 
 def _target_pairs(k: DataFrame, t: DataFrame) -> DataFrame:
@@ -99,12 +102,12 @@ def _target_pairs(k: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def _evidence(k: DataFrame, t: DataFrame) -> DataFrame:
-    texts = _once(k).withColumnRenamed("id", "karar_id")
+    texts = _target_texts(k, t)
     return t.join(texts, "karar_id", "left").select("test_id", F.coalesce(F.contains(tx.collapse_whitespace("text"), tx.collapse_whitespace("kanit")), F.lit(False)).alias("var"))
 
 
 def _stem_shares(k: DataFrame, t: DataFrame) -> DataFrame:
-    texts = _once(k).withColumnRenamed("id", "karar_id")
+    texts = _target_texts(k, t)
     return t.join(texts, "karar_id").select("test_id", F.round(tx.overlap_share(tx.stems(F.col("sorgu")), tx.stems(F.col("text"))), 6).alias("pay"))
 
 
@@ -210,8 +213,8 @@ def queries() -> dict[str, Query]:
         "row_group_rows": lambda spark, d: io.read_row_groups(io.row_groups(spark, f"{d}/kararlar.parquet", "id"), ["id", "year"], "id string, year int").groupBy("year").agg(F.count("*").alias("n"), F.count_distinct("id").alias("tekil")),
         "source_counts_combined": over("kararlar", "documents")(_counts_by_source),
         "headers": over("kararlar")(_headers),
-        "word_count": over("kararlar")(lambda k: _once(k).select("id", tx.word_count(F.col("text")).alias("sozcuk"), F.length(tx.collapse_whitespace(F.col("text"))).alias("uzunluk"))),
-        "text_preview": over("kararlar")(lambda k: _once(k).select("id", *[c.alias(n) for c, n in zip(tx.preview(F.col("text")), ("bas", "son"))])),
+        "word_count": over("kararlar")(lambda k: each_id(k, sozcuk=tx.word_count(F.col("text")), uzunluk=F.length(tx.collapse_whitespace(F.col("text"))))),
+        "text_preview": over("kararlar")(lambda k: each_id(k, **dict(zip(("bas", "son"), tx.preview(F.col("text")))))),
         "longest_per_source": over("kararlar")(lambda k: k.filter("id is not null").groupBy(sampling.source_key(F.col("source")).alias("source")).agg(F.max_by("id", F.struct(F.length("text"), F.col("id"))).alias("id"), F.max(F.length("text")).alias("n"))),
         "decisions_without_chunks": over("kararlar", "chunks")(lambda k, c: k.select("id").distinct().join(c.select(F.col("decision_id").alias("id")), "id", "left_anti")),
         "decisions_with_late_chunks": over("kararlar", "chunks")(lambda k, c: k.select("id").distinct().join(c.filter("chunk_index >= 6").select(F.col("decision_id").alias("id")), "id", "left_semi")),
@@ -225,7 +228,7 @@ def queries() -> dict[str, Query]:
         "citation_weights": over("kararlar")(lambda k: relevance.citation_weights(relevance.citations(k), k.select("id").distinct().count())),
         "clean_pool": over("kararlar")(cleaning.clean_pool),
         "cleaning_report": over("kararlar")(lambda k: cleaning.cleaning_report(k, cleaning.clean_pool(k))),
-        "clean_numbers_cities": over("kararlar")(lambda k: _once(k).select("id", cleaning.tidy(cleaning.drop_cities(cleaning.drop_numbers(F.col("text")))).alias("text"))),
+        "clean_numbers_cities": over("kararlar")(lambda k: each_id(k, text=cleaning.tidy(cleaning.drop_cities(cleaning.drop_numbers(F.col("text")))))),
         "section_table": over("kararlar")(sections.section_table),
         "section_flags": over("kararlar")(lambda k: sections.review_flags(sections.section_table(k))),
         "section_flag_rates": over("kararlar")(lambda k: sections.flag_rates(sections.review_flags(sections.section_table(k)))),
@@ -410,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "experiment_sections": f"WITH {_SECTIONED.format('experiments')} SELECT bolum, count(*) AS n FROM sectioned GROUP BY bolum",
         "experiment_log_once": f"WITH {_ONCE_LOG} SELECT satir_no FROM once_log",
         "experiment_report": report,
+        "experiment_sheet": f"WITH {_SECTIONED.format('experiments')}, {_REPORT} SELECT bolum, satir_no::BIGINT AS satir, NULL AS baslik, model FROM report UNION ALL SELECT bolum, 0, 'Bölüm ' || bolum || ': ' || count(*) || ' deneme', NULL FROM report GROUP BY bolum",
         "experiment_best_of_three": f"""WITH {_ONCE_LOG}, {_SECTIONED.format('once_log')}, {_REPORT},
             plain AS (SELECT * REPLACE (CASE WHEN reranker IS NULL OR reranker = 'yok' THEN NULL ELSE reranker END AS reranker, CASE WHEN reranker IS NULL OR reranker = 'yok' THEN NULL ELSE reranker_metni END AS reranker_metni) FROM report)
             {_best('son siralama', ['ilk5', 'ilk1', 'ilk10'], 'true')} UNION ALL {_best('aday getirici', ['ilk10', 'ilk5', 'ilk1'], 'reranker IS NULL')}""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terazi.functions import text as tx
@@ -108,8 +108,10 @@ def _sheet(c: DataFrame) -> DataFrame:
 # -- texts, files, streams -------------------------------------------------------------------------------
 
 
-def _once(k: DataFrame) -> DataFrame:
-    return k.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("text").alias("text"))
+def each_id(k: DataFrame, **columns: Column) -> DataFrame:
+    """id and columns of each decision, once: taken from its rows before they are grouped, so that no text is shuffled. The text
+    of an id never changes, but may be null in some rows."""
+    return k.filter(F.col("id").isNotNull()).select("id", *[c.alias(n) for n, c in columns.items()]).groupBy("id").agg(*[F.max(n).alias(n) for n in columns])
 
 
 def _paragraphs(d: DataFrame) -> DataFrame:
@@ -180,10 +182,13 @@ def queries() -> dict[str, Query]:
         "section_flag_rates_of_chunks": over("chunks")(lambda c: sections.flag_rates(sections.review_flags(_chunk_sections(c)))),
         "section_review_sheet": over("chunks")(_sheet),
         "plain_paragraphs": over("documents")(_paragraphs),
+        "chunk_public_tokens": once(lambda k: chunking.chunk_table(k, "recursive", 512, tok=chunking.PublicTokenizer())),
+        "tokenizer_diagnosis": over("documents")(lambda d: chunking.diagnosed(d, "doc_id", "text").select("doc_id", (F.col("parca") > 0).alias("var"), F.size("kayip").alias("kayip"))),
+        "experiment_sheet": over("experiments")(lambda e: experiments.grouped_sheet(experiments.report_table(e)).select("bolum", "satir", "baslik", "model")),
         "document_templates": over("chunks")(lambda c: c.select("decision_id", "chunk_index", F.md5(tx.model_input(F.col("header"), F.col("bolum"), F.col("text"))).alias("ozet"))),
         "query_templates": over("test_set")(lambda t: t.select("test_id", tx.query_input(F.col("sorgu")).alias("girdi"))),
-        "shortened_texts": once(lambda k: _once(k).select("id", tx.shorten(F.col("text")).alias("kisa"))),
-        "removed_shares": once(lambda k: _once(k).select("id", F.round(tx.removed_percent(tx.word_count(F.col("text")), tx.word_count(F.left("text", F.lit(400)))), 6).alias("yuzde"))),
+        "shortened_texts": once(lambda k: each_id(k, kisa=tx.shorten(F.col("text")))),
+        "removed_shares": once(lambda k: each_id(k, yuzde=F.round(tx.removed_percent(tx.word_count(F.col("text")), tx.word_count(F.left("text", F.lit(400)))), 6))),
         "csv_round_trip": over("test_set")(_through(io.write_csv, io.read_csv)),
         "json_round_trip": over("modeller")(_through(io.write_json, lambda s, p: io.read_json_lines(s, p, "model string, klasor string, max_tokens int, batch_tokens int"))),
         "text_files": over("test_set")(_text_files),
@@ -315,6 +320,7 @@ def oracle_sql(label: Callable[[str], str]) -> dict[str, str]:
             SELECT DISTINCT id, source, sira, etiket, token::INT AS token, uyarilar, left(text, 200) AS bas, right(text, 120) AS son FROM sections JOIN chosen USING (id) LEFT JOIN flagged USING (id) WHERE source <> ''""",
         "plain_paragraphs": f"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n[{WS}]*\\n'), lambda x: regexp_matches(x, '[^{WS}]')) AS p FROM documents WHERE text IS NOT NULL)
             SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS sira, md5(array_to_string({word_list('unnest(p)')}, ' ')) AS ozet FROM p""",
+        "tokenizer_diagnosis": "SELECT doc_id, coalesce(length(text), 0) > 0 AS var, 0::INT AS kayip FROM documents",
         "document_templates": f"SELECT decision_id, chunk_index, md5('title: ' || concat_ws(' — ', header, CASE bolum {titles} END) || ' | text: ' || coalesce(text, '')) AS ozet FROM chunks",
         "query_templates": f"SELECT test_id, '{tx.QUERY_PROMPT}' || coalesce(sorgu, '') AS girdi FROM test_set",
         "shortened_texts": f"{once}, flat AS (SELECT id, {flat('text')} AS t FROM once) SELECT id, CASE WHEN length(t) <= 250 THEN t ELSE trim(regexp_extract(t || ' ', '^((?s).{{0,244}}) ', 1) || ' [...]') END AS kisa FROM flat",
