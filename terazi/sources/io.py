@@ -34,6 +34,12 @@ def read_blocks(spark: SparkSession, path: str, columns: list[str] | None = None
     return rows.select(*(columns or rows.columns), *meta)
 
 
+def block_statistics(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """dosya, blok, satir, en_buyuk: rows and greatest value of a column per block as the scan deals them out, an empty string
+    where it has none. The values are read; row_groups() reads footers only."""
+    return read_blocks(spark, path, [column]).groupBy("dosya", "blok").agg(F.count("*").alias("satir"), F.coalesce(F.max(column).cast("string"), F.lit("")).alias("en_buyuk"))
+
+
 def row_groups(spark: SparkSession, path: str, column: str) -> DataFrame:
     """dosya, grup, satir, en_buyuk: rows and greatest value of a text column per row group, an empty string where the footer has none.
 

@@ -17,17 +17,17 @@ def index_decisions(stream: DataFrame, path: str, checkpoint: str, method: str =
     """Chunk and encode each micro-batch of decisions into a folder of its own below path.
 
     A batch that is run again after a failure overwrites its folders, so no decision is indexed twice. Decisions that an earlier
-    batch had are left out: their ids stand in a narrow table of their own, so that no earlier chunk is read again.
+    batch had are left out: their ids stand in a narrow table beside it (path-kimlik), so that no earlier chunk is read again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, ids = batch.sparkSession, f"{path}/kimlik"
+        spark, ids = batch.sparkSession, f"{path}-kimlik"
         fresh = batch
         if number and exists(spark, ids):
             known = spark.read.schema("id string, parti int").parquet(ids).filter(F.col("parti") < number)
             fresh = batch.join(known, "id", "left_anti")
         chunks = encode_column(chunk_table(fresh, method, limit), "text", encoder=encoder)
-        chunks.write.mode("overwrite").parquet(f"{path}/parca/parti={number}")
+        chunks.write.mode("overwrite").parquet(f"{path}/parti={number}")
         fresh.filter(F.col("id").isNotNull()).select("id").distinct().write.mode("overwrite").parquet(f"{ids}/parti={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -35,7 +35,7 @@ def index_decisions(stream: DataFrame, path: str, checkpoint: str, method: str =
 
 def indexed(spark: SparkSession, path: str) -> DataFrame:
     """The chunks that index_decisions() has written, with parti, the batch of each."""
-    return spark.read.parquet(f"{path}/parca")
+    return spark.read.parquet(path)
 
 
 def to_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
